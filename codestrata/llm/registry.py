@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name to module; a module has ``query`` and, where SQL can express it, ``ORACLE_SQL``.
 MODULES = {
+    "op1_decontamination": "codestrata.llm.op1_decontamination",
     "op2_quality_rules": "codestrata.llm.op2_quality_rules",
     "op3_token_files": "codestrata.llm.op3_token_files",
+    "op4_source_mix": "codestrata.llm.op4_source_mix",
     "op5_url_filter": "codestrata.llm.op5_url_filter",
+    "op6_fuzzy_lines": "codestrata.llm.op6_fuzzy_lines",
     "op8_hilbert_shards": "codestrata.llm.op8_hilbert_shards",
     "op10_near_duplicates": "codestrata.llm.op10_near_duplicates",
 }

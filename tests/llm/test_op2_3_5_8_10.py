@@ -142,7 +142,7 @@ def classes_by_brute_force(data):
         x, y = sets[i], sets[j]
         if data[i][1] is not None and data[i][1] == data[j][1] or x and y and sum((x & y).values()) >= 0.8 * sum((x | y).values()):
             parent[find(i)] = find(j)
-    return [sorted((data[j][0] for j in range(len(data)) if find(j) == find(i) and data[j][0] is not None), default=None) for i in range(len(data))]
+    return [sorted(data[j][0] for j in range(len(data)) if find(j) == find(i) and data[j][0] is not None) for i in range(len(data))]
 
 
 def test_near_duplicates_against_brute_force(spark):
