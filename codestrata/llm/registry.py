@@ -15,6 +15,7 @@ MODULES = {
     "op4_source_mix": "codestrata.llm.op4_source_mix",
     "op5_url_filter": "codestrata.llm.op5_url_filter",
     "op6_fuzzy_lines": "codestrata.llm.op6_fuzzy_lines",
+    "op7_main_text": "codestrata.llm.op7_main_text",
     "op8_hilbert_shards": "codestrata.llm.op8_hilbert_shards",
     "op10_near_duplicates": "codestrata.llm.op10_near_duplicates",
 }
