@@ -1,7 +1,8 @@
 """From bucket keys to components of verified links, without all pairs of a bucket and without anything on the driver.
 
-A bucket's members are first held against one hub. What that leaves in different components is held against other hubs,
-and only what still differs is paired in full; so the result is that of verifying every pair that shares a bucket.
+A bucket's members are first held against one hub. Of those that this leaves in different components, the ones that have too much of
+their own to reach the threshold with anyone are set aside, the rest is held against other hubs, and only what still differs is paired
+in full, where a bound on the similarity allows it; so the result is that of verifying every pair that shares a bucket.
 """
 
 from __future__ import annotations
@@ -36,38 +37,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], members: DataFrame | None = None) -> DataFrame:
-    """Components over ids that share a key of ``bands(id, key)`` and pass ``verify(pairs(a, b)) -> pairs(a, b)``.
+def _mixed(members: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
+    """The rows of ``members`` in buckets that still hold more than one component, with their component and a hub drawn for this turn."""
+    known = members.drop("hub").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    order = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"))
+    hubs = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("id", order).alias("hub"), F.min_by("comp", order).alias("hub_comp"))
+    return cut(known.join(hubs.filter("low <> high").drop("low", "high"), "key"))
 
-    Returns ``(id, comp)`` for ids with at least one link. ``members`` may give the rows of shared keys where the caller has them.
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], private: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame | None:
+    """Components over ids that share a bucket and pass ``verify(pairs(a, b)) -> pairs(a, b)``, as ``(id, comp)`` for ids with a link.
+
+    ``members(key, id, hub)`` are the rows of buckets with two ids or more. ``private(ids) -> (id, total, private)`` gives for each
+    of ``ids(id)`` the weight of its elements and that of the elements which no other of these ids has. An intersection holds no private element,
+    so an id with more than a share of 1 - threshold of them can have no partner, and a pair's similarity is at most
+    min(x - x', y - y') / max(x + y', y + x'); pairs that cannot reach the threshold are not made.
     """
-    if members is None:
-        keys = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1").select("key", "hub")
-        members = cut(bands.join(keys, "key"))
-    tested = links = comp = None
-    for turn in range(HUB_ROUNDS + 1):
-        if turn == 0:
-            left = members
-        else:
-            known = members.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-            order = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"))
-            hubs = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("id", order).alias("hub"), F.min_by("comp", order).alias("hub_comp"))
-            left = cut(known.join(hubs.filter("low <> high").drop("low", "high"), "key"))
-            if left.isEmpty():
-                break
+    pairs = cut(members.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+    if pairs.isEmpty():
+        return None
+    tested, links = pairs, cut(verify(pairs).select("a", "b"))
+    comp = components(links)
+    left = _mixed(members, comp, 0)
+    if left.isEmpty():
+        return comp
+    able = cut(private(left.select("id").distinct()).filter(F.col("private") <= (1 - threshold) * F.col("total") + 1e-9))
+    members = cut(left.select("key", "id").join(able, "id"))
+    for turn in range(1, HUB_ROUNDS + 1):
+        left = _mixed(members, comp, turn)
+        if left.isEmpty():
+            break
         if turn < HUB_ROUNDS:
-            pairs = left.filter("id <> hub" if turn == 0 else "comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+            pairs = left.filter("comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
         else:
-            x, y = (left.select("key", F.col("id").alias(i), F.col("comp").alias(f"comp_{i}")) for i in "ab")
-            pairs = x.join(y, "key").filter("a < b and comp_a <> comp_b").select("a", "b")
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
+            x, y = (left.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("id", "comp", "total", "private")]) for i in "ab")
+            reach = F.least(F.expr("total_a - private_a"), F.expr("total_b - private_b")) + 1e-9 >= threshold * F.greatest(F.expr("total_a + private_b"), F.expr("total_b + private_a"))
+            on = (x["key"] == y["key"]) & F.expr("id_a < id_b and comp_a <> comp_b") & reach
+            pairs = x.join(y, on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(pairs)
         found = cut(verify(pairs).select("a", "b"))
-        if turn and found.isEmpty():
-            continue
-        links = found if links is None else cut(links.union(found))
-        comp = components(links)
+        if not found.isEmpty():
+            links = cut(links.union(found))
+            comp = components(links)
     return comp

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm._common import mix, read, unit, written
+from codestrata.llm._common import WORD, mix, read, unit, written
 from codestrata.llm._linking import linked
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -133,8 +133,16 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, class_id, n_class)`` for every row of ``docs(doc_id, text, ...)``.
+def _elements(batches):
+    words = WordHashes()
+    for batch in batches:
+        for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            h, weight = shingles(text, words)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(weight, pa.int64())], ["id", "h", "weight"])
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """``(doc_id, fp, comp)``: the md5 of each row's text and that of its class; both null for a null text.
 
     Equal texts are folded before banding, so a text that a third of all rows share is one node.
     """
@@ -152,14 +160,43 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
         return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a binary, b binary")
 
-    comp = linked(bands, verify, members)
-    named = signed.select("doc_id", "fp").join(comp.withColumnRenamed("id", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    named = named.select("doc_id", "comp")
+    def private(ids: DataFrame) -> DataFrame:
+        some = texts.join(ids, "id", "left_semi")
+        elements = some.mapInArrow(_elements, "id binary, h long, weight long")
+        alone = elements.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.sum("weight").alias("weight")).filter("n = 1")
+        totals = some.select("id", F.greatest(F.regexp_count("text", F.lit(WORD)) - (SHINGLE - 1), F.lit(1)).cast("long").alias("total"))
+        return totals.join(alone.groupBy("id").agg(F.sum("weight").alias("private")), "id", "left").select("id", "total", F.coalesce("private", F.lit(0)).alias("private"))
+
+    comp = linked(members, verify, private, THRESHOLD)
+    if comp is None:
+        comp = nodes.select(F.col("fp").alias("id"), F.col("fp").alias("comp")).limit(0)
+    named = signed.select("doc_id", "fp").join(comp.withColumnRenamed("id", "fp"), "fp", "left")
+    return named.select("doc_id", "fp", F.coalesce("comp", "fp").alias("comp"))
+
+
+def near_duplicate_classes(docs: DataFrame) -> DataFrame:
+    """``(doc_id, class_id, n_class)`` for every row of ``docs(doc_id, text, ...)``."""
+    named = _named(docs).drop("fp")
     classes = named.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_class"))
     return named.join(classes, "comp", "left").select(
         "doc_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_class", F.lit(1)).alias("n_class")
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class one row of the least doc_id, a null id only where no other is. Null texts all stay."""
+    names = docs.columns
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("fp").alias("fp"))
+    keep = written(_named(docs).filter("fp is not null").groupBy("comp").agg(F.min(first).alias("first")).select("first.doc_id", "first.fp"), "kept")
+    keep = keep.select(F.col("doc_id").alias("keep_id"), F.col("fp").alias("keep_fp"))
+    own = docs.withColumn("fp", F.unhex(F.md5("text")))
+    on = own["doc_id"].eqNullSafe(keep["keep_id"]) & (own["fp"] == keep["keep_fp"])
+    # rows equal in id and text: one of them, by a partial aggregate before the join
+    rest = [n for n in names if n not in ("doc_id", "text")]
+    single = own.join(keep, on, "left_semi").groupBy("doc_id", "fp").agg(F.first("text").alias("text"), F.first(F.struct(F.lit(0).alias("_"), *rest)).alias("rest"))
+    single = single.select(*[F.col(n) if n in ("doc_id", "text") else F.col(f"rest.{n}").alias(n) for n in names])
+    return single.unionByName(docs.filter("text is null"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(read(spark, sf_dir, "documents"))

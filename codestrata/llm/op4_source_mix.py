@@ -125,7 +125,7 @@ def slots(spark: SparkSession, made: Plan, seed: int = SEED) -> DataFrame:
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, Plan]:
-    """Every document with its source's number and the place of its first word in the source's stream; and the plan."""
+    """Every document with its source's number, the place of its first word in the source's stream, and a number within the source; and the plan."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("tie"))
     order = ["source", "doc_id", "tie"]
@@ -142,18 +142,18 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, Plan]:
     placed = dealt.join(sums, (dealt["range"] == sums["range"]) & dealt["source"].eqNullSafe(sums["of"])).select("doc_id", "size", "tie", "sid", "before", dealt["range"].alias("range"), "of")
     start = F.col("before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     row = F.shiftleft(F.col("range").cast("long"), 40) + F.row_number().over(within.orderBy("doc_id", "tie"))
-    return cut(placed.select("doc_id", "size", "tie", "sid", start.alias("start"), row.alias("row"))), made
+    return cut(placed.select("doc_id", "size", "tie", "sid", F.col("of").alias("source"), start.alias("start"), row.alias("row"))), made
 
 
 def _taken(placed: DataFrame, made: Plan) -> DataFrame:
-    """``(row, first, last, turn, shard, slot, ...)``: the words [first, last) of a document that a slot takes."""
+    """``(sid, row, first, last, turn, shard, slot, ...)``: the words [first, last) of a document that a slot takes."""
     spark = placed.sparkSession
     lengths = spark.createDataFrame([(i, n) for i, n in enumerate(made.lengths)], "sid int, length long")
     lengths = F.broadcast(lengths) if len(made.sources) <= BROADCAST_SOURCES else lengths
     pieces = placed.filter("size > 0").join(lengths, "sid")
-    pieces = pieces.select("doc_id", "tie", "row", "sid", "start", "size", "length", F.explode(F.expr("sequence(start div length, (start + size - 1) div length)")).alias("block"))
+    pieces = pieces.select("doc_id", "tie", "source", "row", "sid", "start", "size", "length", F.explode(F.expr("sequence(start div length, (start + size - 1) div length)")).alias("block"))
     first, last = F.greatest(F.col("start"), F.col("block") * F.col("length")) - F.col("start"), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length")) - F.col("start")
-    pieces = pieces.select("doc_id", "tie", "row", "sid", "block", first.alias("first"), last.alias("last"))
+    pieces = pieces.select("doc_id", "tie", "source", "row", "sid", "block", first.alias("first"), last.alias("last"))
     return pieces.join(slots(spark, made), ["sid", "block"])
 
 
@@ -162,8 +162,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     placed, made = _placed(docs)
     known = docs.sparkSession.createDataFrame([(i, n, t) for i, (n, t) in enumerate(zip(made.sizes, made.targets, strict=True))], "sid int, source_size long, target double")
     known = F.broadcast(known) if len(made.sources) <= BROADCAST_SOURCES else known
-    taken = _taken(placed, made).groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    return placed.join(taken, "row", "left").join(known, "sid").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    taken = _taken(placed, made).groupBy("sid", "row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    return placed.join(taken, ["sid", "row"], "left").join(known, "sid").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def _cut_words(schema: pa.Schema):
@@ -190,10 +190,10 @@ def _cut_words(schema: pa.Schema):
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows with the columns of documents: one for each pass in which a document is taken, holding the words taken in it."""
     placed, made = _placed(docs)
-    pieces = _taken(placed, made).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("row", "first", "last", "turn")).alias("pieces"))  # as many as the document has blocks, three times
-    pieces = pieces.select(F.struct("doc_id", "tie").alias("at"), "pieces")
-    own = docs.select(F.struct("doc_id", F.xxhash64("text").alias("tie")).alias("at"), "text", "lang", "source").groupBy("at").agg(*[F.first(c).alias(c) for c in ("text", "lang", "source")])
-    joined = own.join(pieces, own["at"].eqNullSafe(pieces["at"])).select(own["at.doc_id"].alias("doc_id"), "text", "lang", "source", "pieces")
+    pieces = _taken(placed, made).groupBy("doc_id", "tie", "source").agg(F.collect_list(F.struct("row", "first", "last", "turn")).alias("pieces"))  # as many as the document has blocks, three times
+    pieces = pieces.select(F.struct("doc_id", "tie", "source").alias("at"), "pieces")
+    own = docs.select(F.struct("doc_id", F.xxhash64("text").alias("tie"), "source").alias("at"), "text", "lang").groupBy("at").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
+    joined = own.join(pieces, own["at"].eqNullSafe(pieces["at"])).select(own["at.doc_id"].alias("doc_id"), "text", "lang", own["at.source"].alias("source"), "pieces")
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
     return joined.mapInArrow(_cut_words(schema), "doc_id long, text string, lang string, source string, n_chars long")
 

@@ -153,6 +153,13 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _elements(batches):
+    for batch in batches:
+        for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            h = np.unique(shingle_hashes([text])[0]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h)], ["id", "h"])
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, tie, lines)``: the numbers of the lines that go, for documents that lose some; tie is a hash of the text."""
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
@@ -169,7 +176,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
         return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
-    comp = linked(bands, verify, members)
+    def private(ids: DataFrame) -> DataFrame:
+        elements = texts.join(ids, "id", "left_semi").mapInArrow(_elements, "id long, h long")
+        alone = elements.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("private"))
+        return elements.groupBy("id").agg(F.count("*").alias("total")).join(alone, "id", "left").select("id", "total", F.coalesce("private", F.lit(0)).alias("private"))
+
+    comp = linked(members, verify, private, THRESHOLD)
+    if comp is None:
+        comp = texts.select("id", F.col("id").alias("comp")).limit(0)
     seen = written(own.mapInArrow(_occurrences, "doc_id long, tie long, line int, id long").distinct(), "line-places")
     least = F.struct(F.col("doc_id").isNotNull().alias("given"), F.col("doc_id").alias("doc_id"), F.col("tie").alias("tie"), F.col("line").alias("line"))
     nodes = seen.groupBy("id").agg(F.min(least).alias("least"), F.count("*").alias("n"))

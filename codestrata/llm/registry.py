@@ -17,12 +17,14 @@ MODULES = {
     "op6_fuzzy_lines": "codestrata.llm.op6_fuzzy_lines",
     "op7_main_text": "codestrata.llm.op7_main_text",
     "op8_hilbert_shards": "codestrata.llm.op8_hilbert_shards",
+    "op9_personal_data": "codestrata.llm.op9_personal_data",
+    "pipeline": "corpus_pipeline",
     "op10_near_duplicates": "codestrata.llm.op10_near_duplicates",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: import_module(module).query for name, module in MODULES.items()}
+    return {name: getattr(import_module(module), "run" if name == "pipeline" else "query") for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
