@@ -340,7 +340,7 @@ class Walk:
                 end = self.close(body) if body else i + 1
                 return self.t[i + 1], self.at(k) == "interface" and bool(body) and end > body + 1, end, end
             return None
-        words = {"java": ("class", "interface", "enum", "record"), "rust": ("struct", "enum", "trait", "union"), "cpp": ("class", "struct"), "c": ()}.get(lang, ("class", "interface", "enum", "type"))
+        words = {"java": ("class", "interface", "enum", "record", "@interface"), "rust": ("struct", "enum", "trait", "union"), "cpp": ("class", "struct"), "c": ()}.get(lang, ("class", "interface", "enum", "type"))
         if text not in words or not self.is_name(i + 1) or self.at(i - 1) in (".", "enum"):
             return None
         if text in ("type", "record", "union") and self.at(i + 2) not in ("=", "<", "(", "{"):
@@ -351,11 +351,11 @@ class Walk:
                 k += 1
             if self.at(k) != "{":
                 return None
-            pure = any(self.t[j : j + 3] == ["=", "0", ";"] for j in range(k, self.close(k)))
+            pure = any(self.t[j + 1 : j + 4] == ["=", "0", ";"] and self.t[j] in (")", "const", "noexcept", "override") for j in range(k, self.close(k)))
             return self.t[i + 1], pure, k, self.close(k)
         k = self._body_after(i + 2, _F({";"})) if text != "type" else None
         before = self.t[max(0, i - 6) : i]
-        abstract = text in ("interface", "trait") or "abstract" in before and not set(before) & {";", "}"} or "abstract" in before[-2:]
+        abstract = text in ("interface", "@interface", "trait") or "abstract" in before and not set(before) & {";", "}"} or "abstract" in before[-2:]
         return (self.t[i + 1], abstract, k, self.close(k)) if k is not None else (self.t[i + 1], abstract, i + 1, i + 1)
 
     def owner_at(self, i: int) -> tuple[str, int, int] | None:
@@ -554,6 +554,15 @@ class _Body:
         f.cognitive += 1 + depth
         return self.statement(after, hi, depth)
 
+    def _guard(self, i: int, hi: int) -> bool:
+        """Whether an ``if`` belongs to the pattern of a match arm."""
+        w = self.w
+        if w.lang != "rust" or w.at(i) != "if":
+            return False
+        while i < hi and w.at(i) not in ("{", ";", "=>"):
+            i = w.close(i) + 1 if w.at(i) in ("(", "[") else i + 1
+        return w.at(i) == "=>"
+
     def _arms(self, brace: int) -> int:
         w, n, i = self.w, 0, brace + 1
         while i < w.close(brace):
@@ -585,7 +594,7 @@ class _Body:
             if found := w.function_at(i, False):
                 i = w.function(found, i, self.owner, f) + 1
                 continue
-            if text in words and w.at(i - 1) not in (".", "::") and not (text == "for" and w.lang == "rust" and w.at(i + 1) == "<"):
+            if text in words and w.at(i - 1) not in (".", "::") and not self._guard(i, hi) and not (text == "for" and w.lang == "rust" and w.at(i + 1) == "<"):
                 flush()
                 i = self.control(i, hi, depth + lift)
                 statement = True

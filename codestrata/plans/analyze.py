@@ -114,13 +114,13 @@ def analyze(spark: SparkSession, root: str, cfg: Config | None = None, verbose:
     root = os.path.dirname(root) if os.path.isfile(root) else root
     address = root if "://" in root else f"file://{os.path.abspath(root)}"
     module, below = _module(root) if "://" not in root else ("", "")
-    found = cut(tree.scan(spark, address, cfg.exclude))
-    files = tree.load(spark, found, address)
+    found, skipped = tree.scan(spark, address, cfg.exclude)
+    files = tree.load(found.repartition(max(2, spark.sparkContext.defaultParallelism)), address)
     folder = tree.directory(F.col("path"))
     inside = F.concat(F.lit(below), F.when((folder != "") & F.lit(below != ""), "/").otherwise(""), folder)
     files = files.withColumn("import_path", F.lit("") if not module else F.when(inside == "", module).otherwise(F.concat(F.lit(module + "/"), inside)))
-    units = cut(parsers.parsed(files.repartition(max(2, spark.sparkContext.defaultParallelism))))
-    return analyze_units(units, cfg, tree.skipped_dirs(found), root, module, verbose)
+    units = cut(parsers.parsed(files))
+    return analyze_units(units, cfg, skipped, root, module, verbose)
 
 
 __all__ = ["Report", "analyze", "analyze_units", "mean"]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,24 +156,50 @@ def is_generated(comment: Column, lang: Column) -> Column:
     return F.when(lang == "go", comment.startswith("// Code generated") & both).when(lang.isin("java", "rust"), both | comment.contains("@generated") | low.contains("<auto-generated>")).otherwise(both)
 
 
-def scan(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
-    """``(path, rel_path, lang, pruned)`` of all files below a folder that Spark reads; the content is not read here.
+def scan(spark: SparkSession, root: str, patterns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(path, rel_path, lang)`` of the files below a folder that have a known extension, and ``(skipped_dirs)``.
 
-    A file scan prunes by name first; ``load`` then reads what is left.
+    Spark's own file listing drops names that begin with a dot or underscore, such as ``__init__.py``, so the driver walks the tree; it
+    does not enter pruned directories and reads no contents. Entries that cannot be listed are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
-    at = F.expr(f"instr(path, '{base}/')")
-    rows = files.select("path", F.expr(f"substr(path, {len(base) + 2} + instr(path, '{base}/') - 1)").alias("rel_path")).filter(at > 0)
-    modules = rows.filter(basename(F.col("rel_path")) == MODULE_FILE).select(directory(F.col("rel_path")).alias("dir"))
-    return pruned(rows, EXCLUDED if patterns is None else patterns, modules).withColumn("lang", language_of(F.col("rel_path")))
-
-
-def load(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
-    """``(path, lang, class, text)`` of scanned files that are kept, with headers sniffed."""
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    kept = files.filter("pruned is null and lang is not null")
-    rows = content.join(kept, "path").select(F.col("rel_path").alias("path"), "lang", F.decode("content", "UTF-8").alias("text"))
+    where, top = fs.FileSystem.from_uri(root)
+    patterns = EXCLUDED if patterns is None else patterns
+    plain = {p for p in patterns if not any(c in p for c in "*?[")}
+    globs = [re.compile(glob_pattern(p)) for p in patterns if p not in plain]
+    files, skipped, todo = [], 0, [top.rstrip("/")]
+    while todo:
+        folder = todo.pop()
+        try:
+            entries = where.get_file_info(fs.FileSelector(folder))
+        except OSError:
+            continue
+        if folder != top.rstrip("/") and any(e.base_name == MODULE_FILE and e.is_file for e in entries):
+            skipped += 1
+            continue
+        for e in entries:
+            if e.type == fs.FileType.Directory:
+                if e.base_name in plain or any(g.match(e.base_name) for g in globs):
+                    skipped += 1
+                else:
+                    todo.append(e.path)
+            elif "." + e.extension in EXTENSIONS:
+                files.append((e.path, e.path[len(top.rstrip("/")) + 1 :], EXTENSIONS["." + e.extension]))
+    frame = spark.createDataFrame(sorted(files), "path string, rel_path string, lang string")
+    return frame, spark.createDataFrame([(skipped,)], "skipped_dirs long")
+
+
+def load(files: DataFrame, root: str) -> DataFrame:
+    """``(path, lang, class, text)`` of scanned files, read by the executors and with headers sniffed; invalid bytes are replaced."""
+
+    def contents(batches):
+        where, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            texts = []
+            for path in batch["path"]:
+                with where.open_input_file(path) as source:
+                    texts.append(source.read().decode("utf-8", "replace"))
+            yield pd.DataFrame({"path": batch["rel_path"], "lang": batch["lang"], "text": texts})
+
+    rows = files.mapInPandas(contents, "path string, lang string, text string")
     rows = rows.withColumn("class", F.when(is_test(F.col("path"), F.col("lang")), "test").otherwise("prod"))
     return rows.withColumn("lang", sniffed(F.col("lang"), F.col("path"), F.col("text")))
