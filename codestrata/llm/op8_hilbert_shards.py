@@ -34,47 +34,45 @@ def cells() -> dict[str, Column]:
     }
 
 
-def hilbert_index(axes: list[Column], bits: int = BITS) -> Column:
-    """The index of a cell on the Hilbert curve over any number of dimensions.
+def with_hilbert_index(rows: DataFrame, axes: list[str], name: str, bits: int = BITS) -> DataFrame:
+    """``rows`` with the index of their cell on the Hilbert curve over integer columns ``axes`` in place of these.
 
-    The axes are turned level by level into the transposed form of the index (Skilling, 2004) and its bits are interleaved; the
-    levels are folded over an array, so that the expression does not grow with them.
+    The axes are turned level by level into the transposed form of the index (Skilling, 2004), whose bits are then interleaved.
+    Every step is a projection of its own on the last one's columns, so that no expression is computed twice.
     """
-    n = len(axes)
-    levels = F.array(*[F.struct(F.lit(1 << b).alias("q"), F.lit(i).alias("i")) for b in range(bits - 1, 0, -1) for i in range(n)])
-
-    def turn(x: Column, step: Column) -> Column:
-        own, first, mask = F.element_at(x, step.i + 1), F.element_at(x, 1), step.q - 1
-        swap = first.bitwiseXOR(own).bitwiseAND(mask)
-        flip = own.bitwiseAND(step.q) != 0
-        return F.transform(
-            x, lambda v, k: F.when(flip, F.when(k == 0, v.bitwiseXOR(mask)).otherwise(v)).when((k == 0) & (step.i == 0), v).when((k == 0) | (k == step.i), v.bitwiseXOR(swap)).otherwise(v)
-        )
-
-    turned = F.aggregate(levels, F.array(*[a.cast("int") for a in axes]), turn)
-
-    def gray(x: Column) -> Column:
-        """Each axis xor all before it, then all xor the parity of the last."""
-        steps = F.sequence(F.lit(2), F.lit(n))
-        summed = F.aggregate(steps, x, lambda a, k: F.transform(a, lambda v, j: F.when(j == k - 1, v.bitwiseXOR(F.element_at(a, k - 1))).otherwise(v)))
-        return summed
-
-    last = F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)])
-    parity = lambda x: F.aggregate(last, F.lit(0), lambda t, q: F.when(F.element_at(x, n).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
-    grayed = gray(turned)
-    finished = F.transform(F.array(F.struct(grayed.alias("x"), parity(grayed).alias("t"))), lambda s: F.transform(s.x, lambda v: v.bitwiseXOR(s.t)))
-    places = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
-    return F.aggregate(
-        places, F.lit(0).cast("long"), lambda h, p: h * 2 + F.call_function("shiftright", F.element_at(F.element_at(finished, 1), p.i + 1), p.b).bitwiseAND(F.lit(1)).cast("long")
-    )
+    rest = [c for c in rows.columns if c not in axes]
+    x = [F.col(a) for a in axes]
+
+    def step(rows: DataFrame, new: dict[int, Column]) -> DataFrame:
+        return rows.select(*rest, *[new.get(i, x[i]).alias(a) for i, a in enumerate(axes)])
+
+    for level in range(bits - 1, 0, -1):
+        q, low = F.lit(1 << level), F.lit((1 << level) - 1)
+        for i in range(len(axes)):
+            flip = x[i].bitwiseAND(q) != 0
+            if i == 0:
+                rows = step(rows, {0: F.when(flip, x[0].bitwiseXOR(low)).otherwise(x[0])})
+            else:
+                swap = x[0].bitwiseXOR(x[i]).bitwiseAND(low)
+                rows = step(rows, {0: F.when(flip, x[0].bitwiseXOR(low)).otherwise(x[0].bitwiseXOR(swap)), i: F.when(flip, x[i]).otherwise(x[i].bitwiseXOR(swap))})
+    for i in range(1, len(axes)):
+        rows = step(rows, {i: x[i].bitwiseXOR(x[i - 1])})
+    parity = F.lit(0)
+    for level in range(bits - 1, 0, -1):
+        parity = parity.bitwiseXOR(F.when(x[-1].bitwiseAND(F.lit(1 << level)) != 0, F.lit((1 << level) - 1)).otherwise(F.lit(0)))
+    rows = rows.withColumn("parity", parity).select(*rest, *[a_.bitwiseXOR(F.col("parity")).alias(a) for a, a_ in zip(axes, x, strict=True)])
+    index = F.lit(0).cast("long")
+    for level in range(bits - 1, -1, -1):
+        for axis in x:
+            index = index * 2 + F.shiftright(axis, level).bitwiseAND(F.lit(1)).cast("long")
+    return rows.select(*rest, index.alias(name))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve)`` for every row of ``docs(doc_id, text, lang, source, ...)``."""
     rows = docs.select("doc_id", (F.octet_length(text_or_empty()) + 1).cast("long").alias("size"), F.crc32(text_or_empty().cast("binary")).alias("text_crc32"), "lang", "source")
     rows = rows.select("doc_id", "size", "text_crc32", *[c.alias(n) for n, c in cells().items()])
-    curve = hilbert_index([F.col(n) for n in cells()])
-    rows = rows.select(curve.alias("curve"), "doc_id", "size", "text_crc32")
+    rows = with_hilbert_index(rows, list(cells()), "curve")
     order = ["curve", "size", "text_crc32", "doc_id"]
     dealt = cut(rows.repartitionByRange(RANGES, *order).withColumn("range", F.spark_partition_id()))
     # one row a range, so at most RANGES rows meet in the window without a key and are sent to the executors

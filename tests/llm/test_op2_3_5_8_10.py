@@ -102,7 +102,7 @@ def test_bloom_filter_has_no_false_negatives(spark):
 def test_hilbert_index_is_a_curve(spark):
     for n, bits in ((2, 4), (3, 3)):
         axes = spark.range(1 << bits * n).select(*[((F.col("id") / (1 << bits * i)).cast("long") % (1 << bits)).cast("int").alias(f"a{i}") for i in range(n)])
-        cells = [tuple(r)[:n] for r in axes.withColumn("h", op8.hilbert_index([F.col(f"a{i}") for i in range(n)], bits)).orderBy("h").collect()]
+        cells = [tuple(r)[:n] for r in op8.with_hilbert_index(axes.withColumns({f"b{i}": F.col(f"a{i}") for i in range(n)}), [f"b{i}" for i in range(n)], "h", bits).orderBy("h").collect()]
         assert len(set(cells)) == 1 << bits * n
         assert all(sum(abs(x - y) for x, y in zip(a, b, strict=True)) == 1 for a, b in itertools.pairwise(cells))
 
