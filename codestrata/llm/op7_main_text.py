@@ -169,7 +169,8 @@ class Tree:
 
 def match(x: Tree, y: Tree) -> list[tuple[int, int]]:
     """Aligned nodes of two trees by simple tree matching."""
-    memo: dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray]] = {}
+    memo: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    single: set[tuple[int, int]] = set()
     sys.setrecursionlimit(20_000)
 
     def weight(a: int, b: int) -> int:
@@ -177,6 +178,12 @@ def match(x: Tree, y: Tree) -> list[tuple[int, int]]:
         xs, ys = x.children.get(a, ()), y.children.get(b, ())
         if not xs or not ys:
             return 0
+        if len(xs) == len(ys) == 1:
+            i, j = xs[0], ys[0]
+            if x.labels[i] != y.labels[j]:
+                return 0
+            single.add((a, b))
+            return 1 + weight(i, j) + (x.texts[i] == y.texts[j] != 0)
         w = (np.array([x.labels[i] for i in xs])[:, None] == np.array([y.labels[j] for j in ys])).astype(np.int64)
         inner = np.array([i in x.children for i in xs])[:, None] & np.array([j in y.children for j in ys]) & (w > 0)
         for i, j in zip(*np.nonzero(inner), strict=True):
@@ -193,6 +200,10 @@ def match(x: Tree, y: Tree) -> list[tuple[int, int]]:
     pairs, todo = [], [(-1, -1)]
     while todo:
         a, b = todo.pop()
+        if (a, b) in single:
+            pairs.append((x.children[a][0], y.children[b][0]))
+            todo.append(pairs[-1])
+            continue
         if (a, b) not in memo:
             continue
         (w, best), xs, ys = memo[a, b], x.children[a], y.children[b]
