@@ -11,6 +11,8 @@ from codestrata.llm._common import mix
 
 #: 4 MiB on every executor, whatever the number of keys; a full filter only lets more rows pass.
 BITS = 1 << 25
+#: Tasks that build the filter; each sends at most BITS / 32 rows.
+BUILDERS = 64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,7 +35,7 @@ def _words(batches):
 
 def packed(keys: DataFrame) -> bytes:
     """The filter of a frame of one long column: BITS / 8 bytes."""
-    rows = keys.mapInArrow(_words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = keys.coalesce(BUILDERS).mapInArrow(_words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(BITS // 32, ">u4")
     words[np.array(rows.column("word"))] = np.array(rows.column("bits"))
     return words.tobytes()
