@@ -32,6 +32,8 @@ from codestrata.llm._common import read, written
 
 #: A run is template if at least so many distinct pages align with it, of which this share has its text.
 LEAST_PAGES, CONSTANT = 4, 0.9
+#: Parts over which the pages of each host are dealt when they meet its pivot.
+SALTS = 16
 
 _words = lambda s: frozenset(s.split())
 #: Elements of HTML by their part in a page, and words of classes, ids and roles that mark what is not the article.
@@ -171,7 +173,7 @@ def match(x: Tree, y: Tree) -> list[tuple[int, int]]:
     """Aligned nodes of two trees by simple tree matching."""
     memo: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     single: set[tuple[int, int]] = set()
-    sys.setrecursionlimit(20_000)
+    sys.setrecursionlimit(max(20_000, 4 * len(x.labels)))
 
     def weight(a: int, b: int) -> int:
         """The size of the largest ordered matching below a and b."""
@@ -263,7 +265,9 @@ def template_runs(pages: DataFrame) -> DataFrame:
     trees = pages.select("url", F.unhex(F.md5(F.coalesce("html", F.lit("")))).alias("fp"), "html").mapInArrow(_trees, _TREE)
     trees = written(trees.dropDuplicates(["host", "fp"]), "page-trees")
     pivots = trees.groupBy("host").agg(F.min_by(F.struct("fp", "parents", "labels", "texts"), "fp").alias("pivot"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES).drop("n")
-    aligned = trees.join(pivots, "host").mapInArrow(_aligned, "host string, fp binary, runs array<struct<run:int,pivot_run:int,same:boolean>>")
+    salted = trees.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    aligned = salted.join(pivots, ["host", "salt"]).mapInArrow(_aligned, "host string, fp binary, runs array<struct<run:int,pivot_run:int,same:boolean>>")
     runs = written(aligned.select("host", "fp", F.inline("runs")), "page-runs")
     fixed = runs.groupBy("host", "pivot_run").agg(F.count("*").alias("n"), F.count_if("same").alias("equal"))
     fixed = fixed.filter((F.col("n") >= LEAST_PAGES) & (F.col("equal") >= CONSTANT * F.col("n"))).select("host", "pivot_run")
