@@ -18,6 +18,8 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +34,7 @@ from codestrata.llm._common import cut, read, scratch, text_or_empty
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 NULL_ID = -(2**63)
 #: Words that a worker remembers before it starts anew, and texts encoded at a time.
-MEMO, CHUNK = 400_000, 128
+MEMO, CHUNK = 1_000_000, 128
 #: Marks that are pre-tokens of their own after a letter or digit of the Latin blocks.
 _MARKS = ".,;:!?#$%&*"
 _SUMMARY = "file string, first long, range int, n_docs long, n_tokens long, width int"
@@ -51,8 +53,6 @@ class Encoder:
         self.memo: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
         memo, split, new = self.memo, {}, {}
         for word in words:
             text = word.decode("utf-8")
@@ -79,12 +79,20 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of this encoder's width."""
         words = [text.encode("utf-8").split() for text in texts]
-        new = {w for ws in words for w in ws if w not in self.memo}
-        if new:
+        own = set(chain.from_iterable(words))
+        if new := own.difference(self.memo):
+            if len(self.memo) + 3 * len(new) > MEMO:
+                self.memo.clear()
+                new = own
             self._learn(new)
-            if any(w not in self.memo for ws in words for w in ws):  # the memo was cleared on the way
-                self._learn({w for ws in words for w in ws})
-        return [b"".join([self.memo[w] for w in ws]) for ws in words]
+        of = self.memo.__getitem__
+        return [b"".join(map(of, ws)) for ws in words]
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process, so that its memo outlives a task."""
+    return Encoder(path)
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
@@ -100,7 +108,7 @@ def _writer(folder: str, vocabulary: str, end_id: int):
             if not docs:
                 continue
             if encoder is None:
-                encoder = Encoder(vocabulary)
+                encoder = encoder_of(vocabulary)
                 end = np.array([end_id], encoder.dtype).tobytes()
                 where, root = _open(folder)
                 where.create_dir(root, recursive=True)
