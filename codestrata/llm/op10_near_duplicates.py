@@ -14,6 +14,7 @@ class, whatever their ids; a class is named by its least doc_id (null where it h
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,12 @@ class WordHashes(dict):
         return value
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One memo a worker process, so that it outlives a task."""
+    return WordHashes()
+
+
 def shingles(text: str, words: WordHashes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes in order, and their counts. Words are split at ASCII white space."""
     tokens = text.encode("utf-8", "surrogatepass").split()
@@ -106,7 +113,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def _sign(batches):
-    words = WordHashes()
+    words = word_hashes()
     for batch in batches:
         keys = []
         for text in batch.column("text").to_pylist():
@@ -123,7 +130,7 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
 
 
 def _verify(batches):
-    words, last, hub = WordHashes(), None, None
+    words, last, hub = word_hashes(), None, None
     for batch in batches:
         keep = []
         for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
@@ -134,7 +141,7 @@ def _verify(batches):
 
 
 def _elements(batches):
-    words = WordHashes()
+    words = word_hashes()
     for batch in batches:
         for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             h, weight = shingles(text, words)
