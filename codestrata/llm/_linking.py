@@ -1,8 +1,9 @@
 """From bucket keys to components of verified links, without all pairs of a bucket and without anything on the driver.
 
-A bucket's members are first held against one hub. Of those that this leaves in different components, the ones that have too much of
-their own to reach the threshold with anyone are set aside, the rest is held against other hubs, and only what still differs is paired
-in full, where a bound on the similarity allows it; so the result is that of verifying every pair that shares a bucket.
+Every id is first held against one hub only, the least over all its buckets, and then, in buckets that this leaves with different
+components, against one hub of each other component. Of those that still differ, the ones that have too much of their own to reach the
+threshold with anyone are set aside, the rest is held against every bucket's hub, and only what differs even then is paired in full,
+where a bound on the similarity allows it; so the result is that of verifying every pair that shares a bucket.
 """
 
 from __future__ import annotations
@@ -45,6 +46,11 @@ def _mixed(members: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
     return cut(known.join(hubs.filter("low <> high").drop("low", "high"), "key"))
 
 
+def _release(df: DataFrame) -> None:
+    """Lets Spark's cleaner remove the shuffle files of rounds that nothing refers to any more; it acts when the driver's heap is collected."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], private: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame | None:
     """Components over ids that share a bucket and pass ``verify(pairs(a, b)) -> pairs(a, b)``, as ``(id, comp)`` for ids with a link.
 
@@ -53,21 +59,25 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], private
     so an id with more than a share of 1 - threshold of them can have no partner, and a pair's similarity is at most
     min(x - x', y - y') / max(x + y', y + x'); pairs that cannot reach the threshold are not made.
     """
-    pairs = cut(members.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+    least = members.groupBy("id").agg(F.min("hub").alias("hub")).filter("id <> hub")
+    pairs = cut(least.select(F.col("hub").alias("a"), F.col("id").alias("b")))
     if pairs.isEmpty():
         return None
     tested, links = pairs, cut(verify(pairs).select("a", "b"))
     comp = components(links)
-    left = _mixed(members, comp, 0)
-    if left.isEmpty():
-        return comp
-    able = cut(private(left.select("id").distinct()).filter(F.col("private") <= (1 - threshold) * F.col("total") + 1e-9))
-    members = cut(left.select("key", "id").join(able, "id"))
     for turn in range(1, HUB_ROUNDS + 1):
+        _release(members)
         left = _mixed(members, comp, turn)
         if left.isEmpty():
             break
-        if turn < HUB_ROUNDS:
+        if turn == 2:
+            able = cut(private(left.select("id").distinct()).filter(F.col("private") <= (1 - threshold) * F.col("total") + 1e-9))
+            members = cut(left.select("key", "id").join(able, "id"))
+            left = _mixed(members, comp, turn)
+        if turn == 1:
+            some = left.filter("comp <> hub_comp").groupBy("id", "hub_comp").agg(F.min("hub").alias("hub"))
+            pairs = some.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        elif turn < HUB_ROUNDS:
             pairs = left.filter("comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
         else:
             x, y = (left.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("id", "comp", "total", "private")]) for i in "ab")
