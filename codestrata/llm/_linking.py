@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm._common import cut
+from codestrata.llm._common import cut, written
 
 #: Rounds in which each bucket has one hub; the remainder is then paired in full.
 HUB_ROUNDS = 3
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         low = both.join(labels.select(F.col("id").alias("peer"), "comp"), "peer").groupBy("id").agg(F.min("comp").alias("low"))
         near = labels.join(low, "id").select("id", F.least("comp", "low").alias("comp"), F.col("comp").alias("was"))
-        near = cut(near)
+        # a file, not a checkpoint: a checkpoint keeps the constraints of its plan, which would multiply from round to round until planning takes minutes
+        near = written(near, "labels")
         jump = near.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
         after = cut(near.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "was"))
         labels = after.select("id", "comp")
