@@ -30,10 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         low = both.join(labels.select(F.col("id").alias("peer"), "comp"), "peer").groupBy("id").agg(F.min("comp").alias("low"))
         near = labels.join(low, "id").select("id", F.least("comp", "low").alias("comp"), F.col("comp").alias("was"))
-        # a file, not a checkpoint: a checkpoint keeps the constraints of its plan, which would multiply from round to round until planning takes minutes
+        # files, not checkpoints: a checkpoint keeps the constraints of its plan, which would multiply from round to round until planning takes minutes
         near = written(near, "labels")
         jump = near.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-        after = cut(near.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "was"))
+        after = written(near.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "was"), "labels")
         labels = after.select("id", "comp")
         if after.filter("comp <> was").isEmpty():
             return labels
