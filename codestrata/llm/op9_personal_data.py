@@ -2,8 +2,9 @@
 
 Well-formed e-mail addresses, IP addresses, card and phone numbers (the base) are always spans. High-recall patterns propose further,
 overlapping spans: addresses spelt with "at" and "dot", defanged IP addresses, numbers with unusual separators, phone numbers without a
-plus sign. Each gets features of its form and of the text around it, boosted trees score it, and a threshold calibrated by kind on
-held-out rows selects it; among overlapping selected spans the best stays, and none that meets a base span.
+plus sign. In a run of digit groups every stretch of whole groups that has 12 to 19 digits and passes Luhn is a card candidate. Each gets
+features of its form and of the text around it, boosted trees score it, and a threshold calibrated by kind on held-out rows selects it;
+selected spans are taken best first, and none that meets one taken before or a base span.
 
 The trees are trained on ``TRAINING_ROWS`` generated, labelled sentences, which is all the data that training sees; their features come from
 the same expressions that score documents, and the trees become expressions too.
@@ -39,9 +40,13 @@ BASE = {
 PROPOSED = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[a-z0-9-]{1,63}+(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[a-z0-9-]{1,63}+){1,6}+",
     "ip": r"(?i)(?<![0-9.])[0-9]{1,4}+(?:\x20?[\[(](?:\.|dot)[\])]\x20?[0-9]{1,4}+){3}",
-    "card": r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}+[0-9]){11,18}+(?![0-9])",
+    "card": r"[0-9](?:[\x20./_-]{0,2}+[0-9]){11,}+",
     "phone": r"(?<![0-9+])\(?[0-9]{2,5}+\)?[\x20./-]{1,2}+[0-9]{2,5}+(?:[\x20./-][0-9]{2,5}+){1,4}+(?![0-9])",
 }
+#: What begins at a digit group of a card run and has a number of digits, up to the end of a group; and its greatest length.
+CARD, CARD_DIGITS, CARD_LENGTH = r"^[0-9](?:[\x20./_-]{0,2}+[0-9]){%d}(?![0-9])", range(12, 20), 19 + 2 * 18
+#: Digits grouped as on cards: in fours, or 4-6-5, with one separator throughout, or in one group.
+EVEN = r"^(?:[0-9]++|[0-9]{4}([\x20./_-]{1,2})(?:[0-9]{4}\1)*[0-9]{1,4}|[0-9]{4}([\x20./_-]{1,2})[0-9]{6}\2[0-9]{4,5})$"
 #: Words near a span that speak for its kind, and words that speak for another sort of number.
 CUES = {
     "email": "mail|e-mail|write|contact|reach|address|correo|courriel",
@@ -50,7 +55,7 @@ CUES = {
     "phone": "phone|tel|call|fax|mobile|cell|dial|ring|téléphone|telefon|teléfono",
 }
 OTHER = "order|invoice|isbn|issn|version|section|page|pages|serial|ref|no|code|total|score|date|build|figure|table"
-FEATURES = ["kind", "digits", "length", "separators", "letters", "luhn", "octets", "brackets", "domain", "groups", "cue", "other", "before", "after"]
+FEATURES = ["kind", "digits", "length", "separators", "letters", "luhn", "octets", "brackets", "domain", "groups", "even", "cue", "other", "before", "after"]
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
@@ -94,6 +99,25 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def cards(text: Column) -> Column:
+    """The stretches of whole digit groups with 12 to 19 digits that pass Luhn, in the form of ``found``; they overlap."""
+
+    def stretches(run: Column) -> Column:
+        return F.flatten(F.flatten(F.transform(F.array(F.split(run["v"], "")), lambda chars: groups(run["s"], chars))))  # an array of one, so that the run is split once
+
+    def groups(s: Column, chars: Column) -> Column:
+        first = lambda c, i: F.when(c.between("0", "9") & ~F.coalesce(F.get(chars, i - 1).between("0", "9"), F.lit(False)), i)
+        starts = F.filter(F.transform(chars, first), lambda i: i.isNotNull())
+        return F.transform(starts, lambda i: begun(s + i, F.array_join(F.slice(chars, i + 1, CARD_LENGTH + 1), "")))
+
+    def begun(s: Column, rest: Column) -> Column:
+        own = F.array(*[F.regexp_extract(rest, CARD % (n - 1), 0) for n in CARD_DIGITS])
+        own = F.filter(own, lambda v: (v != "") & F.call_function("luhn_check", _digits(v)))
+        return F.transform(own, lambda v: F.struct(s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v")))
+
+    return F.flatten(F.transform(found(text, PROPOSED["card"]), stretches))
+
+
 def _features(kind: int):
     """What makes of a match its span with its features."""
     return lambda c: _featured(c, kind)
@@ -116,6 +140,7 @@ def _featured(c: Column, kind: int) -> Column:
         "brackets": v.rlike(r"[\[\]()]").cast("int"),
         "domain": v.rlike(r"(?i)[^a-z0-9](?:com|org|net|edu|gov|io|info|de|fr|es|it|uk|eu)$").cast("int"),
         "groups": F.regexp_count(v, F.lit("[0-9]+")),
+        "even": v.rlike(EVEN).cast("int"),
         "cue": around.rlike(rf"(?i)(?<![a-z])(?:{CUES[name]})(?![a-z])").cast("int"),
         "other": before.rlike(rf"(?i)(?<![a-z])(?:{OTHER})(?![a-z])").cast("int"),
         "before": before.rlike(r"[A-Za-z0-9@/=._-]$").cast("int"),
@@ -126,7 +151,7 @@ def _featured(c: Column, kind: int) -> Column:
 
 def candidates() -> Column:
     """The proposed spans of ``text`` with their features, for texts that have digits or a spelt-out address."""
-    some = [F.transform(found(F.col("text"), PROPOSED[name]), _features(k)) for k, name in enumerate(KINDS)]
+    some = [F.transform(cards(F.col("text")) if name == "card" else found(F.col("text"), PROPOSED[name]), _features(k)) for k, name in enumerate(KINDS)]
     lower = F.lower("text")
     gates = [
         lower.contains(" dot ") | lower.contains("[dot") | lower.contains("(dot") | lower.contains(" dot)"),
@@ -139,8 +164,11 @@ def candidates() -> Column:
     return F.concat(*[F.when(gate, c).otherwise(nothing) for gate, c in zip(gates, some, strict=True)])
 
 
-def training_sentences(n: int = TRAINING_ROWS) -> list[tuple[str, int]]:
-    """Sentences with one candidate each, and whether it is personal data; half of them are."""
+def training_sentences(n: int = TRAINING_ROWS) -> list[tuple[str, int, int, int]]:
+    """Sentences with one number or address each, whether it is personal data (half of them are), its start and end.
+
+    Other numbers stand beside about half of the cards, so that the stretches that hold some of them are seen too.
+    """
     draw = random.Random(9)
     digits = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
     word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 9)))
@@ -173,7 +201,11 @@ def training_sentences(n: int = TRAINING_ROWS) -> list[tuple[str, int]]:
         kind, good = i % 4, i // 4 % 2 == 0
         cued = good and (kind == 3 or draw.random() < 0.6)
         cue = draw.choice(CUES[KINDS[kind]].split("|")) if cued else draw.choice(OTHER.split("|")) if not good and draw.random() < 0.5 else word()
-        rows.append((f"{word()} {word()} {cue} {makers[kind](good)} {word()} {word()}.", int(good)))
+        made, beside = makers[kind](good), random.Random(i)
+        short = f"{beside.randint(1, 12):02}/{beside.randint(24, 35)}" if beside.random() < 0.5 else str(beside.randint(100, 999))
+        left, right = ("", f" {short}") if kind == 2 and beside.random() < 0.3 else (f"{beside.randint(1, 99)} ", "") if kind == 2 and beside.random() < 0.3 else ("", "")
+        head = f"{word()} {word()} {cue} {left}"
+        rows.append((f"{head}{made}{right} {word()} {word()}.", int(good), len(head), len(head) + len(made)))
     return rows
 
 
@@ -229,14 +261,22 @@ def thresholds(x: np.ndarray, y: np.ndarray, score: np.ndarray) -> list[float]:
 def model(spark: SparkSession) -> tuple[list, list[float]]:
     """The trees and the thresholds; two thirds of the sentences train, one third calibrates."""
     rows = training_sentences()
-    some = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("text"), F.lit(y).alias("y")) for i, (t, y) in enumerate(rows)]))
+    some = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("text")) for i, (t, *_) in enumerate(rows)]))
     frame = spark.range(1).select(some.alias("r")).select("r.*")
-    scored = frame.select("i", "y", F.explode(candidates()).alias("c")).select("i", "y", *[f"c.{f}" for f in FEATURES]).collect()  # at most a few rows a sentence
-    data = np.array([[r.i, r.y, *[r[f] for f in FEATURES]] for r in sorted(scored)], float)
+    scored = frame.select("i", F.explode(candidates()).alias("c")).select("i", "c.s", "c.e", *[f"c.{f}" for f in FEATURES]).collect()  # at most a few rows a sentence
+    card = KINDS.index("card")
+    true = lambda r: rows[r.i][1] and (r.kind != card or (r.s, r.e) == rows[r.i][2:])
+    data = np.array([[r.i, true(r), *[r[f] for f in FEATURES]] for r in sorted(scored)], float)
     held = data[:, 0] // 8 % 3 == 2
     x, y = data[:, 2:], data[:, 1]
     trees = boost(x[~held], y[~held])
-    return trees, thresholds(x[held], y[held], sum(_value(t, x[held]) for t in trees))
+    score = sum(_value(t, x) for t in trees)
+    ends = np.array([[r.s, r.e] for r in sorted(scored)])
+    best: list[int] = []  # what would be taken of each kind: the threshold is for those
+    for j in sorted(np.flatnonzero(held), key=lambda j: (-score[j], *ends[j])):
+        if not any(data[o, 0] == data[j, 0] and x[o, 0] == x[j, 0] and ends[o, 0] < ends[j, 1] and ends[j, 0] < ends[o, 1] for o in best):
+            best.append(j)
+    return trees, thresholds(x[best], y[best], score[best])
 
 
 def _tree_column(tree, c: Column) -> Column:
@@ -264,9 +304,10 @@ def spans(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("scored", F.transform("free", lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), score(c).alias("score"))))
     limit = F.array(*[F.lit(x) for x in least])
     rows = rows.withColumn("passed", F.filter("scored", lambda c: c["score"] >= F.element_at(limit, c["k"] + 1)))
-    better = lambda o, c: (o["score"] > c["score"]) | ((o["score"] == c["score"]) & (F.struct(o["s"], o["k"], o["e"]) < F.struct(c["s"], c["k"], c["e"])))
-    best = F.filter("passed", lambda c: ~F.exists("passed", lambda o: _meets(o, c) & better(o, c)))
-    added = F.transform(best, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
+    ranked = F.array_sort(F.transform("passed", lambda c: F.struct((-c["score"]).alias("worse"), c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))
+    span = lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))
+    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    added = F.aggregate(ranked, none, lambda acc, c: F.when(F.exists(acc, lambda o: _meets(o, c)), acc).otherwise(F.concat(acc, F.array(span(c)))))
     return rows.select("doc_id", *[f"base_{k}" for k in KINDS], "base", added.alias("added"))
 
 
