@@ -1,94 +1,307 @@
-"""From bucket keys to components of verified links, without all pairs of a bucket and without anything on the driver.
+"""From band keys to components of verified links, without anything on the driver and without pairing a bucket of copies.
 
-Every id is first held against one hub only, the least over all its buckets, and then, in buckets that this leaves with different
-components, against one hub of each other component. Of those that still differ, the ones that have too much of their own to reach the
-threshold with anyone are set aside, the rest is held against every bucket's hub, and only what differs even then is paired in full,
-where a bound on the similarity allows it; so the result is that of verifying every pair that shares a bucket.
+Map tasks send the (key, id) entries of a chunk packed, a binary row for each slice of the key space, after linking ids of one key within
+the chunk to the least of them; so a key that a third of all rows share arrives once a chunk. Slices are sorted in turn and yield
+``members(key, id, hub)``: for every key the ids below which another id of that key is known.
+
+Every id is first held against one hub, the least over its buckets, which turns groups of copies into one component. Buckets that then
+still span several components are compared in full, in blocks of ``BLOCK`` members, by a product of incidence matrices that gives
+the exact similarity of all pairs of a block. Where that would be many pairs a member, ids meet further hubs first, so that large groups
+shrink at linear cost. The result is that of verifying every pair that shares a bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm._common import cut, written
+from codestrata.llm._common import discard, written
+
+#: Members of a block; pairs a member above which buckets meet one more hub first; rounds of such hubs at most.
+BLOCK, PAIRS_A_MEMBER, HUB_ROUNDS = 256, 64, 6
+#: Slices of the key space for each shuffle partition; bytes of a packed row; columns of an incidence matrix at a time.
+SLICES, PACKED_BYTES, COLUMNS = 2, 8192, 8192
+
+PACKED = "slice int, entries binary, local binary"
+_PACKED = pa.schema([("slice", pa.int32()), ("entries", pa.binary()), ("local", pa.binary())])
+
+
+def slices(df: DataFrame) -> int:
+    return SLICES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def words_of(ids: list[bytes] | np.ndarray) -> np.ndarray:
+    """Ids as rows of unsigned 64-bit words: binary ids of a multiple of eight bytes, or int64."""
+    if isinstance(ids, np.ndarray):
+        return ids.view(np.uint64).reshape(-1, 1)
+    width = len(ids[0]) // 8 if ids else 1
+    return np.frombuffer(b"".join(ids), ">u8").astype(np.uint64).reshape(-1, width)
+
+
+def _id_column(words: np.ndarray, binary: bool) -> pa.Array:
+    if not binary:
+        return pa.array(np.ascontiguousarray(words[:, 0]).view(np.int64))
+    data = words.astype(">u8").tobytes()
+    width = 8 * words.shape[1]
+    return pa.array([data[i : i + width] for i in range(0, len(data), width)], pa.binary())
+
+
+def _hubs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct entries (key, ids words) in order, and for each the place of the first, which is the least, of its key."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    new = np.r_[True, k[1:] != k[:-1]]
+    alone = new & np.r_[new[1:], True]
+    some = order[~alone]
+    if len(some):  # the order of ids matters only in runs
+        some = some[np.lexsort([*(ids[some, j] for j in range(ids.shape[1] - 1, -1, -1)), keys[some]])]
+        equal = (keys[some][1:] == keys[some][:-1]) & (ids[some][1:] == ids[some][:-1]).all(axis=1)
+        some = some[np.r_[True, ~equal]]
+    order = np.concatenate([order[alone], some])
+    k = keys[order]
+    start = np.r_[True, k[1:] != k[:-1]]
+    first = np.flatnonzero(start)
+    return k, ids[order], np.repeat(first, np.diff(np.r_[first, len(k)]))
+
+
+def packed(keys: np.ndarray, ids: np.ndarray, count: int) -> pa.RecordBatch:
+    """The entries of a chunk by slice: one entry for each key, and (key, id, hub) for the ids of a key that are not its least."""
+    flat = keys.reshape(-1).view(np.uint64)
+    k, i, hub = _hubs(flat, np.repeat(ids, keys.shape[1], axis=0))
+    place = np.arange(len(k))
+    entries = np.column_stack([k, i])[hub == place]
+    local = np.column_stack([k, i, i[hub]])[hub != place]
+    rows: list[tuple[int, bytes, bytes]] = []
+    for table, empty in ((entries, lambda s, x: (s, x, b"")), (local, lambda s, x: (s, b"", x))):
+        slot = (table[:, 0] >> np.uint64(32)) % np.uint64(count)
+        order = np.argsort(slot, kind="stable")
+        table, slot = table[order], slot[order]
+        cuts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.empty(0, np.int64)
+        step = max(1, PACKED_BYTES // (8 * table.shape[1]))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(slot)], strict=False):
+            rows += [empty(int(slot[a]), table[c : min(b, c + step)].tobytes()) for c in range(a, b, step)]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], schema=_PACKED)
+
+
+def _unpacked(width: int, binary: bool):
+    names = pa.schema([("key", pa.int64()), ("id", pa.binary() if binary else pa.int64()), ("hub", pa.binary() if binary else pa.int64())])
+
+    def out(keys: np.ndarray, ids: np.ndarray, hubs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys).view(np.int64)), _id_column(ids, binary), _id_column(hubs, binary)], schema=names)
+
+    def flush(parts: list[bytes]):
+        table = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 1 + width)
+        k, i, hub = _hubs(table[:, 0].copy(), table[:, 1:])
+        low = np.flatnonzero(hub != np.arange(len(k)))
+        yield out(k[low], i[low], i[hub[low]])
+
+    def run(batches):
+        now, parts = None, []
+        for batch in batches:
+            local = np.frombuffer(b"".join(batch.column("local").to_pylist()), np.uint64).reshape(-1, 1 + 2 * width)
+            yield out(local[:, 0], local[:, 1 : 1 + width], local[:, 1 + width :])
+            for s, x in zip(batch.column("slice").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                if s != now and parts:
+                    yield from flush(parts)
+                    parts = []
+                now = s
+                if x:
+                    parts.append(x)
+        if parts:
+            yield from flush(parts)
+
+    return run
+
+
+def members(rows: DataFrame, width: int, binary: bool) -> DataFrame:
+    """``(key, id, hub)`` of keys with two ids or more, from packed rows; one slice at a time is in memory."""
+    kind = "binary" if binary else "long"
+    dealt = rows.repartition("slice").sortWithinPartitions("slice")
+    return written(dealt.mapInArrow(_unpacked(width, binary), f"key long, id {kind}, hub {kind}"), "members")
 
-#: Rounds in which each bucket has one hub; the remainder is then paired in full.
-HUB_ROUNDS = 3
+
+def ids_of(found: DataFrame) -> DataFrame:
+    return found.select("id").union(found.select(F.col("hub").alias("id"))).distinct()
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two arrays of distinct elements."""
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _pair_links(elements: Callable[[str], np.ndarray], threshold: float):
+    def run(batches):
+        last, hub = None, None
+        for batch in batches:
+            keep = []
+            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                if a != last:
+                    last, hub = a, elements(x)
+                keep.append(similarity(hub, elements(y)) >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similarities(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarities of all pairs of two lists of arrays of distinct elements."""
+    sizes = [np.array([len(v) for v in side], np.float32) for side in (x, y)]
+    flat = np.concatenate([*x, *y]) if x or y else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(x) + len(y)), np.concatenate(sizes).astype(np.int64))
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.empty(0, bool)
+    column = np.cumsum(new) - 1
+    left = owner < len(x)
+    total = int(column[-1]) + 1 if len(column) else 0
+    shared = (np.bincount(column[left], minlength=total) > 0) & (np.bincount(column[~left], minlength=total) > 0)
+    keep = shared[column]
+    owner, column, left = owner[keep], (np.cumsum(shared) - 1)[column[keep]], left[keep]
+    both = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        one, two = np.zeros((len(x), COLUMNS), np.float32), np.zeros((len(y), COLUMNS), np.float32)
+        side, own, col = left[a:b], owner[a:b], column[a:b] - at
+        one[own[side], col[side]] = 1
+        two[own[~side] - len(x), col[~side]] = 1
+        both += one @ two.T
+    return both / np.maximum(1, sizes[0][:, None] + sizes[1] - both)
+
+
+def _block_links(elements: Callable[[str], np.ndarray], threshold: float, binary: bool):
+    kind = pa.binary() if binary else pa.int64()
+
+    def links(rows: list[tuple]) -> list[tuple]:
+        """Links that join the components of a unit as far as its verified pairs do: fewer than it has components."""
+        if len(rows) == 2:
+            (_, _, _, _, a, x, s), (_, _, _, _, b, y, t) = rows
+            return [(a, b)] if x != y and similarity(elements(s), elements(t)) >= threshold else []
+        i, j, texts = rows[0][1], rows[0][2], [elements(r[6]) for r in rows]
+        first = [n for n, r in enumerate(rows) if r[3] == i]
+        other = first if i == j else [n for n, r in enumerate(rows) if r[3] == j]
+        near = similarities([texts[n] for n in first], [texts[n] for n in other]) >= threshold
+        root = {r[5]: r[5] for r in rows}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        found = []
+        for p, q in zip(*np.nonzero(near), strict=True):
+            a, b = rows[first[p]], rows[other[q]]
+            if a[5] != b[5] and (x := find(a[5])) != (y := find(b[5])):
+                root[x] = y
+                found.append((a[4], b[4]))
+        return found
+
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], kind) for n in (0, 1)], ["a", "b"])
+
+    def run(batches):
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("key", "i", "j", "block", "id", "comp", "text")), strict=True):
+                if rows and row[:3] != rows[0][:3]:
+                    yield out(links(rows))
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield out(links(rows))
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(id, comp)`` with comp the least id: least labels of neighbours with pointer jumping.
 
-    Labels only fall, and every round halves the distance along label chains, so long chains take a logarithmic number of rounds.
+    Labels only fall, and every round halves the distance along label chains, so long chains take a logarithmic number of rounds. Rounds are written
+    as files: a checkpoint would keep the constraints of its plan, which multiply from round to round.
     """
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("peer")).filter("id <> peer")
-    both = cut(both.union(both.select("peer", "id")).distinct())
-    labels = cut(both.groupBy("id").agg(F.min("peer").alias("low")).select("id", F.least("id", "low").alias("comp")))
+    both = written(both.union(both.select("peer", "id")).distinct(), "edges")
+    labels = written(both.groupBy("id").agg(F.min("peer").alias("low")).select("id", F.least("id", "low").alias("comp")), "labels")
     while True:
         low = both.join(labels.select(F.col("id").alias("peer"), "comp"), "peer").groupBy("id").agg(F.min("comp").alias("low"))
-        near = labels.join(low, "id").select("id", F.least("comp", "low").alias("comp"), F.col("comp").alias("was"))
-        # files, not checkpoints: a checkpoint keeps the constraints of its plan, which would multiply from round to round until planning takes minutes
-        near = written(near, "labels")
+        near = written(labels.join(low, "id").select("id", F.least("comp", "low").alias("comp"), F.col("comp").alias("was")), "labels")
         jump = near.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
         after = written(near.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "was"), "labels")
+        discard(labels, near)
         labels = after.select("id", "comp")
         if after.filter("comp <> was").isEmpty():
+            discard(both)
             return labels
 
 
-def _mixed(members: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
-    """The rows of ``members`` in buckets that still hold more than one component, with their component and a hub drawn for this turn."""
-    known = members.drop("hub").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    order = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"))
-    hubs = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("id", order).alias("hub"), F.min_by("comp", order).alias("hub_comp"))
-    return cut(known.join(hubs.filter("low <> high").drop("low", "high"), "key"))
+def _roots(parents: DataFrame) -> DataFrame:
+    """``(id, comp)`` from ``parents(id, comp)``, each with a lesser parent: pointers are doubled until all are roots."""
+    while True:
+        up = parents.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
+        after = written(parents.join(up, "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")), "roots")
+        discard(parents)
+        parents = after
+        if after.filter("moved").isEmpty():
+            return after.select("id", "comp")
 
 
-def _release(df: DataFrame) -> None:
-    """Lets Spark's cleaner remove the shuffle files of rounds that nothing refers to any more; it acts when the driver's heap is collected."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+def _relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links; ids without a row are their own component."""
+    own = lambda side: comp.select(F.col("id").alias(side), F.col("comp").alias(f"comp_{side}"))
+    edges = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    labels = components(edges)
+    new = labels.select(F.col("id").alias("comp"), F.col("comp").alias("low"))
+    return written(comp.join(new, "comp", "left").select("id", F.coalesce("low", "comp").alias("comp")).union(labels.filter("id <> comp")), "components")
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], private: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame | None:
-    """Components over ids that share a bucket and pass ``verify(pairs(a, b)) -> pairs(a, b)``, as ``(id, comp)`` for ids with a link.
+def linked(found: DataFrame, texts: DataFrame, elements: Callable[[str], np.ndarray], threshold: float) -> DataFrame:
+    """Components over ids that share a bucket and are alike, as ``(id, comp)`` with comp an id of the component; ids without a row stand alone.
 
-    ``members(key, id, hub)`` are the rows of buckets with two ids or more. ``private(ids) -> (id, total, private)`` gives for each
-    of ``ids(id)`` the weight of its elements and that of the elements which no other of these ids has. An intersection holds no private element,
-    so an id with more than a share of 1 - threshold of them can have no partner, and a pair's similarity is at most
-    min(x - x', y - y') / max(x + y', y + x'); pairs that cannot reach the threshold are not made.
+    ``found(key, id, hub)`` are members, ``texts(id, text)`` the texts of all their ids, ``elements(text)`` the distinct elements of a text.
     """
-    least = members.groupBy("id").agg(F.min("hub").alias("hub")).filter("id <> hub")
-    pairs = cut(least.select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    if pairs.isEmpty():
-        return None
-    tested, links = pairs, cut(verify(pairs).select("a", "b"))
-    comp = components(links)
-    for turn in range(1, HUB_ROUNDS + 1):
-        _release(members)
-        left = _mixed(members, comp, turn)
-        if left.isEmpty():
+    kind = found.schema["id"].dataType.simpleString().replace("bigint", "long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+        x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_pair_links(elements, threshold), f"a {kind}, b {kind}")
+
+    least = found.groupBy("id").agg(F.min("hub").alias("hub"))
+    first = verified(least.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    comp = _roots(written(first.select(F.col("b").alias("id"), F.col("a").alias("comp")), "parents"))
+    rows = found.select("key", "id").union(found.select("key", F.col("hub").alias("id"))).distinct()
+    for turn in range(HUB_ROUNDS + 1):
+        known = rows.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        each = known.groupBy("key", "comp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("of"), F.min("id").alias("low"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("hub"))
+        # of each bucket its members, its pairs across components, and a hub from its largest component; of buckets with the same members one
+        buckets = each.groupBy("key").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts"), F.bit_xor("of").alias("of"), F.min("low").alias("low"), F.max_by(F.struct("hub", "comp"), F.struct("n", "comp")).alias("most")
+        )
+        one = F.min_by(F.struct("key", "same", "most"), "key").alias("one")
+        buckets = buckets.filter("parts > 1").groupBy("n", "of", "low").agg(one).select("n", "one.*")
+        mixed = written(known.join(buckets, "key").select("key", "id", "comp", "n", F.expr("(n * n - same) / (2 * n)").alias("pairs"), F.col("most.hub").alias("hub"), F.col("most.comp").alias("hub_comp")), "mixed")
+        size = mixed.agg(F.count("*").alias("n"), F.sum("pairs").alias("pairs")).first()
+        if not size.n:
+            return comp
+        if turn == HUB_ROUNDS or size.pairs <= PAIRS_A_MEMBER * size.n:
+            break
+        pairs = mixed.filter("comp <> hub_comp").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+        more = written(verified(pairs), "links")
+        if more.limit(1).isEmpty():
             break
-        if turn == 2:
-            able = cut(private(left.select("id").distinct()).filter(F.col("private") <= (1 - threshold) * F.col("total") + 1e-9))
-            members = cut(left.select("key", "id").join(able, "id"))
-            left = _mixed(members, comp, turn)
-        if turn == 1:
-            some = left.filter("comp <> hub_comp").groupBy("id", "hub_comp").agg(F.min("hub").alias("hub"))
-            pairs = some.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        elif turn < HUB_ROUNDS:
-            pairs = left.filter("comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        else:
-            x, y = (left.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("id", "comp", "total", "private")]) for i in "ab")
-            reach = F.least(F.expr("total_a - private_a"), F.expr("total_b - private_b")) + 1e-9 >= threshold * F.greatest(F.expr("total_a + private_b"), F.expr("total_b + private_a"))
-            on = (x["key"] == y["key"]) & F.expr("id_a < id_b and comp_a <> comp_b") & reach
-            pairs = x.join(y, on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(pairs)
-        found = cut(verify(pairs).select("a", "b"))
-        if not found.isEmpty():
-            links = cut(links.union(found))
-            comp = components(links)
-    return comp
+        after = _relabelled(comp, more)
+        discard(comp, more, mixed)
+        comp = after
+    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = mixed.withColumn("count", count).withColumn("block", F.pmod(F.xxhash64("id"), "count").cast("int")).join(texts, "id")
+    dealt = dealt.select("key", "id", "comp", "text", "block", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
+    units = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "text")
+    units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    links = written(units.mapInArrow(_block_links(elements, threshold, kind == "binary"), f"a {kind}, b {kind}"), "links")
+    if links.isEmpty():
+        return comp
+    return _relabelled(comp, links)

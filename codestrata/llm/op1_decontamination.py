@@ -163,7 +163,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     equal = items.select("item_id", "text").filter("text is not null").groupBy("text").agg(F.min("item_id").alias("id"))
     wanted = written(equal.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(_item_windows, _WINDOWS_SQL), "item-windows")
     sizes = sorted(r.size for r in wanted.select(F.col("size").alias("size")).distinct().collect())  # at most WINDOW of them
-    packed = docs.sparkSession.sparkContext.broadcast(_bits.packed(wanted.select("h")))
+    packed = docs.sparkSession.sparkContext.broadcast(_bits.packed(wanted.select("h"), wanted.count()))
     found = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), "text").mapInArrow(_document_windows(packed, sizes), _WINDOWS_SQL)
     found = found.select("h", F.col("id").alias("doc_id"), "tie", "at", "slots").distinct()
     item = wanted.select("h", F.col("id").alias("item_id"), F.col("tie").alias("item"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n")

@@ -1,20 +1,24 @@
 """Fuzzy line deduplication by MinHash: one line of every group of alike lines stays in the corpus.
 
 Lines with a word are compared as sets of shingles of ``SHINGLE`` characters (the whole line where it is shorter). A signature holds the least
-shingle hash of each of ``BANDS * ROWS`` bins (one permutation; an empty bin borrows from the next full one) and is cut into bands.
-Equal lines are one node. Lines that share a band are verified by the exact Jaccard similarity of their shingles and joined into
-components by distributed union-find; the occurrence with the least (doc_id, line number) of a component stays, all others go.
+shingle hash of each of ``BANDS * ROWS`` bins (one permutation; an empty bin borrows from the first full one in an order of its own, so
+that the bins of a band stay independent in short lines) and is cut into bands. Equal lines are one node. Lines that share a band are
+verified by the exact Jaccard similarity of their shingles and joined into components by distributed union-find (``_linking``); the
+occurrence with the least (doc_id, text, line number) of a component stays, all others go.
 
-The signatures are computed twice rather than stored: the first pass only counts the buckets, and a Bloom filter of fixed size over
-buckets of two or more lines lets the second pass emit the few lines that can have a partner. A full filter only lets more pass.
+Signatures are computed once and sent packed; a second pass over the texts lists the places of all lines, with the text of those that
+share a band with another. These are picked by a Bloom filter sized by their number, up to 64 MiB; beyond that it lets more texts pass, and the
+exact join after it removes them.
 
 Lines are known by a 64-bit hash. Defined results: a null text has no lines and stays null; lines without a word always stay; rows of equal doc_id and
-text are one document, and the decision holds for each of them; a null doc_id comes first.
+text are one document, and the decision holds for each of them; a null doc_id comes first; an empty table gives no rows. Columns beside
+doc_id and text may have any names but ``lines_gone``, which is replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -22,61 +26,66 @@ from pyspark.sql import functions as F
 
 from codestrata.llm import _bits
 from codestrata.llm._common import mix, read, text_or_empty, written
-from codestrata.llm._linking import linked
+from codestrata.llm._linking import PACKED, ids_of, linked, members, packed, slices, words_of
 
 #: 5 characters: a line of 49 or more with one changed character keeps a similarity of 0.8; a shorter one need not.
-#: 12 bands of 4: at a similarity of 0.8 one pair in 560 shares no band, at 0.85 one in 7,000.
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 4
-#: Characters whose shingles are hashed at a time.
-CHUNK = 1 << 19
+#: 16 bands of 6: at a similarity of 0.8 one pair in 130 shares no band, at 0.85 one in 2,500; at 0.3 one in 85 shares one.
+SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 6
+#: Characters whose shingles are hashed at a time; lines whose entries are packed at a time.
+CHUNK, LINES = 1 << 18, 1 << 14
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIER = np.uint64(0xD1342543DE82EF95)
+_FINAL = np.uint64(0x94D049BB133111EB)
 _FULL = np.uint64(2**64 - 1)
+_BINS = BANDS * ROWS
+#: For each bin the order in which it asks the others.
+_ORDER = np.argsort(mix(np.arange(1, _BINS * _BINS + 1, dtype=np.uint64) * _STEP).reshape(_BINS, _BINS), axis=1)
 
 
 def lines_of(text: str | None) -> list[tuple[int, str]]:
     """(line number, line) of the lines with a word, split at \\n."""
-    return [(i, x) for i, x in enumerate((text or "").split("\n")) if x and not x.encode("utf-8", "surrogatepass").isspace()]
+    return [(i, x) for i, x in enumerate((text or "").split("\n")) if x and (x[0] > " " or x.strip(" \t\n\v\f\r"))]
 
 
-def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of all lines, and the line that each is of."""
-    lengths = np.array([len(x) for x in lines], np.int64)
-    chars = np.frombuffer("".join(x.ljust(size, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    padded = np.maximum(lengths, size)
-    n = len(chars) - size + 1
-    h = chars[:n].copy()
-    for k in range(1, size):
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the shingle at every place of the lines one after the other (the greatest number where none begins), and their lengths, SHINGLE at least."""
+    lengths = np.array([max(len(x), SHINGLE) for x in lines], np.int64)
+    chars = np.frombuffer("".join([x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(chars) - SHINGLE + 1
+    h = chars[:n].astype(np.uint64)
+    for k in range(1, SHINGLE):
         h *= _MULTIPLIER
         h += chars[k : n + k]
-    counts = padded - size + 1
-    starts = np.cumsum(padded) - padded
-    owner = np.repeat(np.arange(len(lines)), counts)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[owner]
-    return mix(h[at]), owner
+    h *= _MULTIPLIER
+    h ^= h >> np.uint64(29)
+    h *= _FINAL
+    h ^= h >> np.uint64(32)
+    h[(np.cumsum(lengths)[:-1, None] - np.arange(1, SHINGLE)).ravel()] = _FULL
+    return h, lengths
+
+
+def elements(line: str) -> np.ndarray:
+    """The distinct shingle hashes of a line."""
+    return np.unique(_hashed([line])[0])
 
 
 def signatures(lines: list[str]) -> np.ndarray:
     """A row of BANDS * ROWS minima for each line."""
-    k = BANDS * ROWS
-    h, owner = shingle_hashes(lines)
-    cell = (h % np.uint64(k)).astype(np.int64) + owner * k
-    order = np.argsort(cell, kind="stable")
-    cell, h = cell[order], h[order]
-    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    out = np.full(len(lines) * k, _FULL)
-    out[cell[first]] = np.minimum.reduceat(h, first)
-    out = out.reshape(len(lines), k)
-    empty, turn = out == _FULL, 1
-    filled = out.copy()
-    while empty.any():
-        lent = np.roll(out, -turn, axis=1)
-        take = empty & (lent != _FULL)
-        filled[take] = mix(lent[take] + np.uint64(turn))
-        empty &= ~take
-        turn += 1
-    return filled
+    h, lengths = _hashed(lines)
+    cell = np.repeat(np.arange(0, len(lines) * _BINS, _BINS), lengths)[: len(h)] + ((h >> np.uint64(32)) * np.uint64(_BINS) >> np.uint64(32)).view(np.int64)
+    found = np.full(len(lines) * _BINS, _FULL)
+    np.minimum.at(found, cell, h)
+    out = found.copy()
+    todo = np.flatnonzero(found == _FULL)
+    column, turn = todo % _BINS, 0
+    base = todo - column
+    while len(todo):
+        lent = found[base + _ORDER[column, turn % _BINS]]
+        full = lent != _FULL
+        out[todo[full]] = mix(lent[full] + np.uint64((turn + 1) * int(_STEP) % 2**64))
+        todo, column, base, turn = todo[~full], column[~full], base[~full], turn + 1
+    return out.reshape(len(lines), _BINS)
 
 
 def bucket_keys(lines: list[str]) -> np.ndarray:
@@ -85,60 +94,71 @@ def bucket_keys(lines: list[str]) -> np.ndarray:
     return mix(x + _STEP * np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
 
 
-def _chunks(texts):
-    """Lists of (text number, line number, line), each of about CHUNK characters."""
+def _name(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - 2**63
+
+
+def _batched(lines: dict[int, str]):
+    """The lines in lists of about CHUNK characters."""
     some, size = [], 0
-    for t, text in enumerate(texts):
-        for i, line in lines_of(text):
-            some.append((t, i, line))
-            size += len(line) + SHINGLE
-            if size >= CHUNK:
-                yield some
-                some, size = [], 0
+    for line in lines.values():
+        some.append(line)
+        size += len(line) + SHINGLE
+        if size >= CHUNK:
+            yield some
+            some, size = [], 0
     if some:
         yield some
 
 
-def _name(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - 2**63
+def _sign(count: int):
+    def run(batches):
+        lines: dict[int, str] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            keys = np.concatenate([bucket_keys(some) for some in _batched(lines)])
+            return packed(keys, words_of(np.array(list(lines), np.int64)), count)
 
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                for _, line in lines_of(text):
+                    lines[_name(line)] = line
+                    size += len(line)
+                    if len(lines) >= LINES or size >= 64 * CHUNK:
+                        yield flush()
+                        lines.clear()
+                        size = 0
+        if lines:
+            yield flush()
 
-def _occurrences(batches):
-    for batch in batches:
-        docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        ties = batch.column("tie").to_pylist()
-        for some in _chunks(texts):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([docs[t] for t, _, _ in some], pa.int64()), pa.array([ties[t] for t, _, _ in some], pa.int64()), pa.array([i for _, i, _ in some], pa.int32()), pa.array([_name(x) for _, _, x in some], pa.int64())],
-                ["doc_id", "tie", "line", "id"],
-            )
+    return run
 
 
-def _distinct(some: list[tuple[int, int, str]]) -> dict[int, str]:
-    return {_name(x): x for _, _, x in some}
+_PLACES = "doc_id long, tie long, line int, id long, text string"
 
 
-def _buckets(batches):
-    for batch in batches:
-        for some in _chunks(batch.column("text").to_pylist()):
-            lines = _distinct(some)
-            keys = bucket_keys(list(lines.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(lines), np.int64), BANDS)), pa.array(keys.ravel())], ["id", "key"])
+def _places(filtered):
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("id", pa.int64()), ("text", pa.string())])
 
+    def out(rows: list[tuple], bits: np.ndarray) -> pa.RecordBatch:
+        ids = np.array([r[3] for r in rows], np.int64)
+        texts = [r[4] if m else None for r, m in zip(rows, _bits.maybe(bits, ids).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], schema.types[k]) for k in range(3)), pa.array(ids), pa.array(texts, pa.string())], schema=schema)
 
-def _shared(packed):
     def run(batches):
-        bits = _bits.unpacked(packed.value)
+        bits = _bits.unpacked(filtered.value)
         for batch in batches:
-            for some in _chunks(batch.column("text").to_pylist()):
-                lines = _distinct(some)
-                keys = bucket_keys(list(lines.values()))
-                passed = _bits.maybe(bits, keys.ravel()).reshape(keys.shape)
-                rows = np.flatnonzero(passed.any(axis=1))
-                ids, texts = list(lines), list(lines.values())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in rows], pa.int64()), pa.array([texts[i] for i in rows], pa.string()), pa.array([keys[i][passed[i]].tolist() for i in rows], pa.list_(pa.int64()))], ["id", "text", "keys"]
-                )
+            rows, size = [], 0
+            for doc, tie, text in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for i, line in lines_of(text):
+                    rows.append((doc, tie, i, _name(line), line))
+                    size += len(line)
+                    if len(rows) >= LINES or size >= 64 * CHUNK:
+                        yield out(rows, bits)
+                        rows, size = [], 0
+            if rows:
+                yield out(rows, bits)
 
     return run
 
@@ -148,61 +168,43 @@ def line_similarity(x: str, y: str) -> float:
     return len(a & b) / len(a | b)
 
 
-def _verify(batches):
-    for batch in batches:
-        keep = [line_similarity(x, y) >= THRESHOLD for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _elements(batches):
-    for batch in batches:
-        for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            h = np.unique(shingle_hashes([text])[0]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(h)], ["id", "h"])
-
-
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, tie, lines)``: the numbers of the lines that go, for documents that lose some; tie is a hash of the text."""
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    buckets = docs.select("text").mapInArrow(_buckets, "id long, key long")
-    keys = written(buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub <> top").select("key", "hub"), "line-keys")
-    packed = docs.sparkSession.sparkContext.broadcast(_bits.packed(keys.select("key")))
-    found = written(docs.select("text").mapInArrow(_shared(packed), "id long, text string, keys array<long>"), "line-texts")
-    bands = found.select("id", F.explode("keys").alias("key")).distinct()
-    members = written(bands.join(keys, "key").select("key", "id", "hub"), "line-members")
-    texts = found.groupBy("id").agg(F.first("text").alias("text"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-        x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
-
-    def private(ids: DataFrame) -> DataFrame:
-        elements = texts.join(ids, "id", "left_semi").mapInArrow(_elements, "id long, h long")
-        alone = elements.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("private"))
-        return elements.groupBy("id").agg(F.count("*").alias("total")).join(alone, "id", "left").select("id", "total", F.coalesce("private", F.lit(0)).alias("private"))
-
-    comp = linked(members, verify, private, THRESHOLD)
-    if comp is None:
-        comp = texts.select("id", F.col("id").alias("comp")).limit(0)
-    seen = written(own.mapInArrow(_occurrences, "doc_id long, tie long, line int, id long").distinct(), "line-places")
-    least = F.struct(F.col("doc_id").isNotNull().alias("given"), F.col("doc_id").alias("doc_id"), F.col("tie").alias("tie"), F.col("line").alias("line"))
-    nodes = seen.groupBy("id").agg(F.min(least).alias("least"), F.count("*").alias("n"))
-    nodes = nodes.join(comp, "id", "left").select("id", "least", "n", F.coalesce("comp", "id").alias("comp"))
-    kept = nodes.groupBy("comp").agg(F.min("least").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
-    gone = seen.join(nodes.join(kept.drop("n"), "comp").select("id", "keep"), "id")
-    here = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("tie"), F.col("line"))
-    return gone.filter(~here.eqNullSafe(F.col("keep"))).groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    found = members(docs.select("text").mapInArrow(_sign(slices(docs)), PACKED), 1, False)
+    wanted = written(ids_of(found), "line-ids")
+    packed_ids = docs.sparkSession.sparkContext.broadcast(_bits.packed(wanted, wanted.count()))
+    seen = written(own.mapInArrow(_places(packed_ids), _PLACES), "line-places")
+    alike = seen.filter("text is not null").select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    comp = linked(found, written(alike, "line-texts"), elements, THRESHOLD)
+    comp = written(comp.union(comp.select(F.col("comp").alias("id"), "comp").distinct()), "line-components")
+    here = F.struct(F.col("doc_id").isNotNull().alias("given"), F.col("doc_id").alias("doc_id"), F.col("tie").alias("tie"), F.col("line").alias("line"))
+    nodes = seen.groupBy("id").agg(F.min(here).alias("least"), F.max(here).alias("last")).join(comp, "id", "left")
+    # a line that occurs once and is like no other is done; of the rest each component keeps its least occurrence
+    nodes = nodes.filter((F.col("least") != F.col("last")) | F.col("comp").isNotNull()).select("id", "least", F.coalesce("comp", "id").alias("comp"))
+    nodes = written(nodes, "line-nodes")
+    target = nodes.join(nodes.groupBy("comp").agg(F.min("least").alias("keep")), "comp").select("id", "keep")
+    gone = seen.drop("text").join(target, "id").filter(here != F.col("keep"))
+    return gone.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("line")).alias("lines"))  # as many as the document has lines
+
+
+def _without(texts: pd.Series, lines: pd.Series) -> pd.Series:
+    def cut(text: str | None, gone) -> str | None:
+        if text is None:
+            return None
+        drop = set(gone.tolist())
+        return "\n".join([x for i, x in enumerate(text.split("\n")) if i not in drop])
+
+    return pd.Series([cut(t, g) for t, g in zip(texts, lines, strict=True)], dtype=object)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with their columns, their texts without the lines that go, and ``lines_gone`` (0-based numbers)."""
-    gone = repeated_lines(docs)
-    own = docs.withColumn("tie", F.xxhash64("text"))
-    joined = own.join(gone, own["doc_id"].eqNullSafe(gone["doc_id"]) & (own["tie"] == gone["tie"]), "left")
-    split = F.split("text", "\n", -1)
-    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("lines", i)), "\n"))
-    return joined.select(*[own[c] if c != "text" else text.alias("text") for c in docs.columns], F.coalesce("lines", F.array().cast("array<int>")).alias("lines_gone"))
+    gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("lines").alias("__lines"))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__tie"]), "left")
+    kept = F.pandas_udf(_without, "string")(F.when(F.col("__lines").isNotNull(), docs["text"]), "__lines")
+    text = F.when(F.col("__lines").isNull(), docs["text"]).otherwise(kept).alias("text")
+    return joined.select(*[docs[c] if c != "text" else text for c in docs.columns if c != "lines_gone"], F.coalesce("__lines", F.array().cast("array<int>")).alias("lines_gone"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

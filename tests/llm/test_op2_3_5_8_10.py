@@ -128,7 +128,7 @@ def test_shards_are_written_whole(spark, tmp_path):
 
 
 def classes_by_brute_force(data):
-    words, parent = op10.WordHashes(), list(range(len(data)))
+    parent = list(range(len(data)))
 
     def find(x):
         while parent[x] != x:
@@ -137,7 +137,7 @@ def classes_by_brute_force(data):
 
     split = [(t or "").encode().split() for _, t in data]
     sets = [Counter(zip(*[w[i:] for i in range(min(5, len(w)))], strict=False)) if w else Counter() for w in split]
-    assert all(len(op10.shingles(t or "", words)[0]) == len(s) for (_, t), s in zip(data, sets, strict=True))
+    assert all(len(op10.shingles(t or "")[0]) == len(s) for (_, t), s in zip(data, sets, strict=True))
     for i, j in itertools.combinations(range(len(data)), 2):
         x, y = sets[i], sets[j]
         if data[i][1] is not None and data[i][1] == data[j][1] or x and y and sum((x & y).values()) >= 0.8 * sum((x | y).values()):
