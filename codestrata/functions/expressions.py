@@ -64,8 +64,11 @@ def _own_folder() -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint in the folder of ``spark.checkpoint.dir`` (one of our own only where that is unset)."""
+    """The same rows from a reliable checkpoint in the folder of ``spark.checkpoint.dir`` (one of our own only where that is unset and all runs on one machine)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or _own_folder())
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or _own_folder())
     return df.checkpoint(eager=True)
