@@ -16,6 +16,7 @@ Defined results: a null or empty text has the end id only; rows of equal doc_id
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -33,10 +34,11 @@ from codestrata.llm._common import cut, read, scratch, text_or_empty
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 NULL_ID = -(2**63)
-#: Words that a worker remembers before it starts anew, and texts encoded at a time.
-MEMO, CHUNK = 1_000_000, 128
-#: Marks that are pre-tokens of their own after a letter or digit of the Latin blocks.
-_MARKS = ".,;:!?#$%&*"
+#: Words and stems that a worker remembers before it starts anew (about 200 bytes each), and texts encoded at a time.
+MEMO, CHUNK = 800_000, 128
+#: Marks that are a pre-token of their own after letters; letters that the normaliser only lowers, one by one, and that are one pre-token.
+_MARKS = b".,;:!?#$%&*"
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SUMMARY = "file string, first long, range int, n_docs long, n_tokens long, width int"
 
 
@@ -50,31 +52,61 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
 
+    def _stems(self, stems: list[str]) -> None:
+        """Learns lower-case words of one pre-token each: encoded as one text, cut after the tokens that end a word."""
+        for at in range(0, len(stems), 4096):
+            some = stems[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):  # not a vocabulary that marks the ends of words
+                self._others(some)
+                continue
+            data, begin = ids.tobytes(), 0
+            for stem, end in zip(some, (ends * self.width).tolist(), strict=True):
+                self.memo[stem.encode()] = data[begin:end]
+                begin = end
+
+    def _others(self, words: list[str]) -> None:
+        if not words:
+            return
+        encoding = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(encoding.ids, self.dtype)
+        ends = (np.searchsorted(np.array(encoding.word_ids, np.int64), np.arange(len(words) + 1)) * self.width).tolist()
+        data = ids.tobytes()
+        for word, a, b in zip(words, ends[:-1], ends[1:], strict=True):
+            self.memo[word.encode()] = data[a:b]
+
     def _learn(self, words: set[bytes]) -> None:
-        memo, split, new = self.memo, {}, {}
+        memo, split = self.memo, []
+        stems: dict[bytes, None] = {}
+        others: dict[bytes, None] = {}
         for word in words:
-            text = word.decode("utf-8")
-            core = text.rstrip(_MARKS)
-            if core != text and core and core[-1].isalnum() and core[-1] < "ɐ":
-                split[word] = core, text[len(core) :]
-                for part in split[word]:
-                    if part.encode() not in memo:
-                        new[part] = None
+            core = word.rstrip(_MARKS)
+            if core.isalpha():  # ASCII letters
+                stem = core.lower()
+            elif _LETTERS.fullmatch(text := core.decode("utf-8")):
+                stem = text.lower().encode()
             else:
-                new[text] = None
-        todo = list(new)
-        if todo:
-            encoding = self.tokenizer.encode(todo, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(encoding.ids, self.dtype)
-            owner = np.array(encoding.word_ids, np.int64)
-            ends = np.searchsorted(owner, np.arange(len(todo) + 1))
-            data, width = ids.tobytes(), self.width
-            for i, text in enumerate(todo):
-                memo[text.encode()] = data[ends[i] * width : ends[i + 1] * width]
-        for word, (core, tail) in split.items():
-            memo[word] = memo[core.encode()] + memo[tail.encode()]
+                others[word] = None
+                continue
+            if stem not in memo:
+                stems[stem] = None
+            if core != word:
+                tail = word[len(core) :]
+                if tail not in memo:
+                    others[tail] = None
+                split.append((word, stem, tail))
+            elif stem != word:
+                split.append((word, stem, None))
+        self._stems([x.decode("utf-8") for x in stems])
+        self._others([x.decode("utf-8") for x in others])
+        for word, stem, tail in split:
+            memo[word] = memo[stem] + memo[tail] if tail else memo[stem]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of this encoder's width."""

@@ -168,3 +168,11 @@ def test_dart_signatures_estimate_weighted_similarity():
     true = np.minimum(x, y).sum() / np.maximum(x, y).sum()
     agree = (op10.signature(elements, x, 2048) == op10.signature(elements, y, 2048)).mean()
     assert abs(agree - true) < 0.05
+
+
+def test_ids_are_the_library_s_over_odd_letters():
+    encoder = op3.Encoder(public_tokenizers.path(op3.VOCABULARY))
+    of = lambda t: np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes()
+    texts = ["İ.", "a İ.", "Σ. Σα. ΑΣ", "ŉ! ǅ, ﬁ.", "é. É!", "1. 12, ²;", "it's. I'LL!", "<|endoftext|>. x<|startoftext|>y"]
+    texts += [f"{a}{chr(c)}{m}" for c in range(0x21, 0x250) for a in ("", "a") for m in (".", "!?")]
+    assert encoder.encode(texts) == [of(t) for t in texts]
