@@ -2,14 +2,17 @@
 
 Texts become tokens with typed placeholders: numbers, names (capitalised words that do not begin a sentence) and units (known unit
 words right after a number). Windows of ``WINDOW`` tokens are hashed, and windows of documents are hash-joined with those of the
-benchmark items; a Bloom filter of fixed size drops the windows without a partner before the shuffle. Windows of one document and item
-with the same offset are one alignment; the values in its slots must map each value of the item to one value of the document, so that
-a question asked again with other numbers and names is found, and a text that only has the same shape is not. A document is
-contaminated by an item if consistent alignments hold at least ``SHARE`` of the item's windows.
+benchmark items; a Bloom filter drops the windows without a partner before the shuffle. A window with fewer literal tokens than
+placeholders has no template to speak of and is hashed by its words as they stand, so that only a copy of it meets it.
+
+Windows of one document and item with the same offset are one alignment. A window counts if all its slots have the item's values, or if
+each of the item's values in it stands for the document's value that most slots of the alignment give it, so that a question asked
+again with other numbers and names is found, and a text that only has the same shape is not. A document is contaminated by an item if
+windows that count hold at least ``SHARE`` of the item's windows.
 
 Defined results: null, empty and blank texts have no windows; items of fewer tokens than a window are one window of their own length;
-windows with fewer literal tokens than placeholders say nothing and are not used; equal items are one, named by the least item_id
-(null where it has none); rows of equal doc_id and text are one document.
+equal items are one, named by the least item_id (null where it has none); rows of equal doc_id and text are one document; an empty
+table of either kind gives no leaks and leaves all documents clean. Columns beside doc_id, item_id and text may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from codestrata.llm._common import mix, read, written
 
 WINDOW, SHARE = 8, 0.5
 #: Words that a worker remembers before it starts anew.
-MEMO = 300_000
+MEMO = 200_000
 #: Words that are units after a number.
 UNITS = frozenset(
     "% percent ° °c °f mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons tonne tonnes oz lb lbs pound pounds ml cl l litre litres liter liters gallon gallons "
@@ -89,7 +92,7 @@ class Words:
 
 
 def tokens(text: str, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, kinds, and places in ``words.values``, of a whole text."""
+    """Token hashes (placeholders alike), kinds, and places in ``words.values``, of a whole text."""
     split = [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
     at = words(split)
     table = words.table[at]
@@ -103,28 +106,35 @@ def tokens(text: str, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return h, kind, at
 
 
-def windows(h: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows that say something, and their first places."""
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
     n = len(h) - size + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     x = h[:n].copy()
     for k in range(1, size):
         x = x * _MULTIPLIER + h[k : n + k]
+    return mix(x + np.uint64(size * int(_STEP) % 2**64))
+
+
+def windows(h: np.ndarray, kind: np.ndarray, plain: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows, and whether each is a template; the others are hashed by ``plain``, the hashes of the words themselves."""
+    if len(h) < size:
+        return np.empty(0, np.int64), np.empty(0, bool)
     literal = np.r_[0, np.cumsum(kind == LITERAL)]
-    good = np.flatnonzero(2 * (literal[size:] - literal[:-size]) >= size)
-    return mix(x[good] + np.uint64(size * int(_STEP) % 2**64)).view(np.int64), good
+    template = 2 * (literal[size:] - literal[:-size]) >= size
+    x = _rolled(h, size)
+    if not template.all():
+        x = np.where(template, x, mix(_rolled(plain, size)))
+    return x.view(np.int64), template
 
 
 def _rows(text: str, size: int, words: Words, filter_bytes: np.ndarray | None = None) -> list[tuple[int, int, list[str]]]:
     """(hash, first place, slot values) of a text's windows."""
     h, kind, at = tokens(text, words)
-    x, first = windows(h, kind, size)
+    x, template = windows(h, kind, words.table[at][:, 0], size)
+    first = np.arange(len(x))
     if filter_bytes is not None and len(x):
-        some = _bits.maybe(filter_bytes, x)
-        x, first = x[some], first[some]
+        first = np.flatnonzero(_bits.maybe(filter_bytes, x))
     values = words.values
-    return [(int(v), int(i), [values[at[j]] for j in range(i, i + size) if kind[j] != LITERAL]) for v, i in zip(x, first, strict=True)]
+    return [(int(x[i]), i, [values[at[j]] for j in range(i, i + size) if kind[j] != LITERAL] if template[i] else []) for i in first.tolist()]
 
 
 _WINDOWS = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("slots", pa.list_(pa.string())), ("n", pa.int64()), ("size", pa.int32())])
@@ -158,7 +168,7 @@ def _document_windows(packed, sizes: list[int]):
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id, n_windows, share, exact, tie)``: a row for each contaminated document and item.
 
-    exact: no slot has another value than in the item. tie: xxhash64 of the document's text.
+    exact: no slot of a window that counts has another value than in the item. tie: xxhash64 of the document's text.
     """
     equal = items.select("item_id", "text").filter("text is not null").groupBy("text").agg(F.min("item_id").alias("id"))
     wanted = written(equal.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(_item_windows, _WINDOWS_SQL), "item-windows")
@@ -168,11 +178,18 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = found.select("h", F.col("id").alias("doc_id"), "tie", "at", "slots").distinct()
     item = wanted.select("h", F.col("id").alias("item_id"), F.col("tie").alias("item"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n")
     met = found.join(item, "h").select("doc_id", "tie", "item_id", "item", "n", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y")).alias("pairs"))
-    pairs = F.array_distinct(F.flatten(F.collect_list("pairs")))
-    runs = met.groupBy("doc_id", "tie", "item_id", "item", "n", "offset").agg(F.collect_list("item_at").alias("places"), pairs.alias("pairs"))
-    ones = F.array_distinct(F.transform("pairs", lambda p: p["x"]))
-    runs = runs.filter(F.size("pairs") == F.size(ones)).withColumn("exact", F.forall("pairs", lambda p: p["x"] == p["y"]))
-    whole = runs.groupBy("doc_id", "tie", "item_id", "item", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.bool_and("exact").alias("exact"))
+    keys = ["doc_id", "tie", "item_id", "item", "n"]
+    # an alignment has one window for each place of the item at most, or as many as its words repeat
+    runs = met.groupBy(*keys, "offset").agg(F.collect_list(F.struct("item_at", "pairs", F.forall("pairs", lambda p: p["x"] == p["y"]).alias("exact"))).alias("windows"))
+    runs = runs.withColumn("all", F.flatten(F.transform("windows", lambda w: w["pairs"])))
+
+    def usual(p):
+        own = F.filter("all", lambda q: q["x"] == p["x"])
+        return 2 * F.size(F.filter(own, lambda q: q["y"] == p["y"])) > F.size(own)
+
+    good = F.filter("windows", lambda w: w["exact"] | F.forall(w["pairs"], usual))
+    runs = runs.select(*keys, F.transform(good, lambda w: w["item_at"]).alias("places"), F.forall(good, lambda w: w["exact"]).alias("exact")).filter(F.size("places") > 0)
+    whole = runs.groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.bool_and("exact").alias("exact"))
     return whole.filter(F.col("n_windows") >= SHARE * F.col("n")).select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("n")).alias("share"), "exact", "tie")
 
 

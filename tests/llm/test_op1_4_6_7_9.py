@@ -27,10 +27,11 @@ def test_leaks_copies_and_asked_again(spark):
     more = [(50, R.prose(5, 40) + " " + ITEM + " " + R.prose(6, 40)), (51, R.prose(7, 30) + ". " + again), (52, torn), (53, R.prose(50, 30)), (54, R.prose(50, 30)[:60]), (55, "so three small words"), (56, "1 2 3 4 5 6 7 8 9 10"), (50, ITEM)]
     docs = R.documents(spark, more)
     found = {(r.doc_id, r.item_id, r.exact) for r in op1.leaks(docs, items).collect()}
-    assert found == {(50, 1, True), (51, 1, False), (53, 2, True), (55, 5, True)}
+    # 52 has another number throughout and another name in one place; 56 copies an item of numbers only, which has no template
+    assert found == {(50, 1, True), (51, 1, False), (52, 1, False), (53, 2, True), (55, 5, True), (56, 6, True)}
     clean = op1.clean_documents(docs, items)
     assert clean.columns == docs.columns
-    assert Counter(r.doc_id for r in clean.collect()) == Counter(r.doc_id for r in docs.collect() if r.doc_id not in (50, 51, 53, 55))
+    assert Counter(r.doc_id for r in clean.collect()) == Counter(r.doc_id for r in docs.collect() if r.doc_id not in (50, 51, 52, 53, 55, 56))
     assert op1.leaks(docs, items.limit(0)).count() == 0 and op1.leaks(R.empty(spark), items).count() == 0
 
 
