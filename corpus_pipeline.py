@@ -8,51 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import op1_decontamination, op2_quality_rules, op3_token_files, op4_source_mix, op10_near_duplicates
-from codestrata.llm._common import read, written
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy passes."""
-    return op2_quality_rules.kept_documents(docs.select(*COLUMNS))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, that of the least doc_id; rows that are equal in id and class are one."""
-    return op10_near_duplicates.one_of_each(docs.select(*COLUMNS))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op1_decontamination.clean_documents(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass over a document, with the words that the mix takes in it."""
-    return op4_source_mix.mixed_documents(docs)
-
-
-def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of every row, read back from the files."""
-    return op3_token_files.encode_and_read(docs)
-
-
-STAGES = [
-    ("quality rules", quality),
-    ("MinHash near-duplicates", near_duplicates),
-    ("benchmark decontamination", decontamination),
-    ("mixing sources to target weights", mixing),
-    ("token files", token_files),
-]
+from codestrata.llm._common import discard, read, written
+from codestrata.llm.pipeline import COLUMNS, STAGES  # noqa: F401
 
 #: Near-duplicate classes, permutations and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; a stage's rows are deleted once the next one's are written."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        done = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        discard(docs)
+        docs = done
     return docs
