@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codestrata import parsers
 from codestrata.functions.expressions import cut, mean, ratio
 from codestrata.operators import duplication, gate, graph, measures, resolve, smells
-from codestrata.plans.config import Config, budget_rows, override_rows, validate
+from codestrata.plans.config import Config, budget_rows, include_dirs, override_rows, validate
 from codestrata.sources import tree
 
 
@@ -51,15 +51,20 @@ def function_rows(units: DataFrame) -> DataFrame:
     return units.select("path", "lang", F.inline("functions"))
 
 
+def by_class(units: DataFrame, of: str) -> DataFrame:
+    """Units of class prod or test that are not generated."""
+    return units.filter(~F.col("is_generated") & (F.col("class") == of))
+
+
 def analyze_units(units: DataFrame, cfg: Config, skipped: DataFrame, root: str, module: str, verbose: bool = False) -> Report:
     """The report over parsed units (schema.UNIT)."""
     spark = units.sparkSession
-    broken = [r.error for r in units.filter("error is not null").select("error").orderBy("error").limit(20).collect()]
+    broken = [r.error for r in units.filter("error is not null").select("error").orderBy("error").collect()]
     if broken:
         raise ValueError("; ".join(broken))
     counts = units.agg(F.count_if("is_generated").alias("generated_files"), F.count_if(~F.col("is_generated") & (F.col("class") == "test")).alias("test_files"))
     kept = units.filter(~F.col("is_generated"))
-    prod = cut(resolve.resolve(kept.filter(F.col("class") == "prod"), cfg.include_dirs))
+    prod = cut(resolve.resolve(by_class(units, "prod"), include_dirs(cfg, root) if "://" not in root else cfg.include_dirs))
     edges = cut(graph.build_edges(prod))
     members = cut(graph.components(edges))
     cycles = cut(graph.cycles(members)) if not members.isEmpty() else graph.cycles(members)

@@ -62,11 +62,20 @@ def load(path: str | None) -> Config:
         merged.update(data.get(name) or {})
         setattr(cfg, name, merged)
     cfg.weights |= {k: float(v) for k, v in (data.get("weights") or {}).items()}
-    cfg.include_dirs = list(data.get("include_dirs") or [])
+    for part in ("budgets", "smells"):
+        for name, own in (data.get(f"language_{part}") or {}).items():
+            cfg.languages.setdefault(name, {}).setdefault(part, {}).update(own or {})
     cfg.folder = os.path.dirname(os.path.abspath(path))
+    cfg.include_dirs = [os.path.normpath(os.path.join(cfg.folder, d)) for d in data.get("include_paths") or data.get("include_dirs") or []]
     return cfg
 
 
+def include_dirs(cfg: Config, root: str) -> list[str]:
+    """The include folders below the analysed root, relative to it; others cannot hold an analysed file."""
+    below = [os.path.relpath(os.path.join(cfg.folder or ".", d), os.path.abspath(root)).replace(os.sep, "/") for d in cfg.include_dirs]
+    return ["" if d == "." else d for d in below if not d.startswith("..")]
+
+
 def discover(folder: str) -> str | None:
     """The configuration file of the nearest folder upwards."""
     at = os.path.abspath(folder)
@@ -128,8 +137,10 @@ weights:
   max_in_cycle_pct: 20
 # smells:
 #   function-length: {enabled: true, threshold: 60, severity: high}
-# languages:
-#   python:
-#     budgets: {avg_complexity: {limit: 8, tier: warn}}
-#     smells: {function-length: {threshold: 40}}
+# language_budgets:
+#   python: {avg_complexity: {limit: 8, tier: warn}}
+# language_smells:
+#   python: {function-length: {threshold: 40}}
+# Folders that quoted and angle includes are looked up in, relative to this file.
+# include_paths: [include]
 """

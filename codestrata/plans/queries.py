@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.expressions import basename
 from codestrata.operators import duplication, gate, graph, measures, resolve, smells
+from codestrata.plans.analyze import by_class
 from codestrata.sources import tree
 
 QUERIES, ORACLES = {}, {}
@@ -318,12 +319,6 @@ def cycle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycle_summary(graph.components(trade_edges(spark, sf_dir)), nation_nodes(spark, sf_dir))
 
 
-@query(f"WITH {_TRADE_SQL} SELECT '  f_' || src || ' --> f_' || dst AS line FROM edges UNION ALL SELECT '  f_' || path || '[\"' || path || '\"]' FROM nodes")
-def mermaid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrows = trade_edges(spark, sf_dir).select(F.concat(F.lit("  f_"), "src", F.lit(" --> f_"), "dst").alias("line"))
-    return arrows.union(nation_nodes(spark, sf_dir).select(F.concat(F.lit("  f_"), "path", F.lit('["'), "path", F.lit('"]'))))
-
-
 _MOVES_SQL = """
 moves AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events)"""
 
@@ -449,6 +444,7 @@ def generated_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.lang, count(*)::BIGINT AS prod_files, sum(n_chars)::BIGINT AS chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) GROUP BY d.lang")
 def prod_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test = read(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    prod = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(test, "doc_id", "left_anti")
-    return prod.groupBy("lang").agg(F.count("*").alias("prod_files"), F.sum("n_chars").alias("chars"))
+    test = read(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit(True))
+    units = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(test, "doc_id", "left")
+    units = units.select("*", F.when(F.col("toxic"), "test").otherwise("prod").alias("class"), F.lit(False).alias("is_generated"))
+    return by_class(units, "prod").groupBy("lang").agg(F.count("*").alias("prod_files"), F.sum("n_chars").alias("chars"))

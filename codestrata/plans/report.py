@@ -11,6 +11,15 @@ from codestrata.plans.analyze import Report
 FORMATS = ("text", "json", "yaml", "mermaid")
 
 
+#: Names of the report's fields where they differ from the columns.
+_NAMES = {"avg_cognitive": "avg_cognitive_complexity", "worst_cognitive": "worst_cognitive_complexity", "issues": "issue_count", "cycle_idx": "index", "dup_lines": "duplicated_lines", "cognitive": "cognitive_complexity"}
+_FILE_NAMES = _NAMES | {"worst_cognitive": "cognitive_complexity"}
+
+
+def _named(row: dict, names: dict[str, str] = _NAMES, without: tuple[str, ...] = ()) -> dict:
+    return {names.get(k, k): v for k, v in row.items() if k not in without}
+
+
 def _rows(df, *order: str) -> list[dict]:
     return [r.asDict(recursive=True) for r in (df.orderBy(*order) if order else df).collect()]
 
@@ -25,15 +34,20 @@ def collected(r: Report) -> dict:
         for key in ("ca", "ce", "instability", "abstractness", "distance", "cycle", "worst_function", "import_path"):
             if not f[key]:
                 del f[key]
+    files = [_named(f, _FILE_NAMES) for f in files]
+    unshown = ("dup_lines_pct", "worst_function", "cycles", "files_in_cycle")
     out = {
-        "schema_version": 1, "root": r.root, "in_module": bool(r.module), "module_path": r.module, "summary": _rows(r.summary)[0], "files": files, "cycles": _rows(r.cycles, "cycle_idx") or None,
+        "schema_version": 1, "tool": "codestrata", "root": r.root, "module_path": r.module, "in_module": bool(r.module), "summary": _named(_rows(r.summary)[0], without=("dup_lines_pct",)), "files": files,
+        "cycles": [_named(c) for c in _rows(r.cycles, "cycle_idx")] or None,
         "issues": _rows(smells.ordered(r.issues)), "budgets": budgets, "composite": _rows(r.composite)[0]["score"], "exit_code": verdict["exit_code"],
     }
-    out["summary"]["by_language"] = {x.pop("lang"): x for x in _rows(r.languages, "lang")}
+    if not r.module:
+        del out["module_path"]
+    out["summary"]["by_language"] = {x.pop("lang"): _named(x, without=unshown) for x in _rows(r.languages, "lang")}
     if r.verbose:
         details: dict[str, list] = {}
         for f in _rows(r.functions, "path", "ord"):
-            details.setdefault(f["path"], []).append({k: f[k] for k in ("name", "enclosing", "start_line", "end_line", "complexity", "cognitive", "length", "nesting", "params", "anonymous")})
+            details.setdefault(f["path"], []).append(_named({k: f[k] for k in ("name", "enclosing", "start_line", "end_line", "complexity", "cognitive", "length", "nesting", "params", "anonymous") if f[k] or k not in ("enclosing", "anonymous")}))
         for f in files:
             if f["class"] == "prod":
                 f["functions_detail"] = details.get(f["path"], [])
@@ -69,7 +83,7 @@ def text(d: dict) -> str:
     out.append(f"Types:  {s['types']} ({s['abstract_types']} abstract)")
     if s["functions"]:
         out.append(f"Complexity:  avg {s['avg_complexity']:.2f} / function · worst {s['worst_complexity']} ({s['worst_function']})")
-        out.append(f"Cognitive:   avg {s['avg_cognitive']:.2f} / function · worst {s['worst_cognitive']}")
+        out.append(f"Cognitive:   avg {s['avg_cognitive_complexity']:.2f} / function · worst {s['worst_cognitive_complexity']}")
         out.append(f"Shape:       longest {s['max_function_length']} lines · max nesting {s['max_nesting']} · max params {s['max_params']}")
     else:
         out.append("Complexity: no functions")
@@ -78,7 +92,7 @@ def text(d: dict) -> str:
     out.append(f"Cycles:      {s['cycles']} component(s) · {s['files_in_cycle']}/{s['prod_files']} files in cycle ({s['in_cycle_pct']:.2f}%) · largest {s['max_cycle_members']}")
     if d["cycles"]:
         out += ["", "Cyclic dependencies (structural debt):"]
-        out += [f"  cycle-{c['cycle_idx']} ({c['size']} files): {' -> '.join(c['members'])}" for c in d["cycles"]]
+        out += [f"  cycle-{c['index']} ({c['size']} files): {' -> '.join(c['members'])}" for c in d["cycles"]]
     prod = [f for f in d["files"] if f["class"] == "prod"]
     if prod:
         out += ["", "Production files:", f"  {'file':<52} {'SLOC':>7} {'worst':>6} {'dup%':>7} {'cycle':>6}"]
@@ -92,7 +106,7 @@ def text(d: dict) -> str:
     detail = [(f["path"], x) for f in d["files"] for x in f.get("functions_detail", []) if (f["path"], x["name"]) in flagged]
     if detail:
         out += ["", "Flagged functions:", f"  {'function':<40} {'cyclo':>6} {'cogn':>6} {'lines':>6} {'nest':>6}"]
-        out += [f"  {p + ': ' + x['name']:<40} {x['complexity']:>6} {x['cognitive']:>6} {x['length']:>6} {x['nesting']:>6}" for p, x in detail]
+        out += [f"  {p + ': ' + x['name']:<40} {x['complexity']:>6} {x['cognitive_complexity']:>6} {x['length']:>6} {x['nesting']:>6}" for p, x in detail]
     out += ["", "Quality gate (budgets):"]
     for b in d["budgets"]:
         digits = gate.METRICS[b["key"]][2]
