@@ -2,7 +2,7 @@
 
 Well-formed e-mail addresses, IP addresses, card and phone numbers (the base) are always spans. High-recall patterns propose further,
 overlapping spans: addresses spelt with "at" and "dot", defanged IP addresses, numbers with unusual separators, phone numbers without a
-plus sign. In a run of digit groups every stretch of whole groups that has 12 to 19 digits and passes Luhn is a card candidate. Each gets
+plus sign, and long runs of letters and digits, which are a secret (a kind of its own) where the text around them says so. In a run of digit groups every stretch of whole groups that has 12 to 19 digits and passes Luhn is a card candidate. Each gets
 features of its form and of the text around it, boosted trees score it, and a threshold calibrated by kind on held-out rows selects it;
 selected spans are taken best first, and none that meets one taken before or a base span.
 
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from codestrata.llm._common import read, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone"]
-TRAINING_ROWS, TREES, DEPTH, RATE, PRECISION = 1600, 24, 3, 0.3, 0.99
+#: Kinds of added spans: also keys, tokens and passwords, which have no base pattern.
+ALL_KINDS = [*KINDS, "secret"]
+TRAINING_ROWS, TREES, DEPTH, RATE, PRECISION = 2000, 32, 3, 0.3, 0.99
 #: Code points of context on either side.
 CONTEXT = 32
 
@@ -41,6 +43,7 @@ PROPOSED = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[a-z0-9-]{1,63}+(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[a-z0-9-]{1,63}+){1,6}+",
     "ip": r"(?i)(?<![0-9.])[0-9]{1,4}+(?:\x20?[\[(](?:\.|dot)[\])]\x20?[0-9]{1,4}+){3}",
     "card": r"[0-9](?:[\x20./_-]{0,2}+[0-9]){11,}+",
+    "secret": r"(?i)(?<![a-z0-9+/_-])(?=[a-z+/_-]*+[0-9])[a-z0-9+/_-]{16,}+",
     "phone": r"(?<![0-9+])\(?[0-9]{2,5}+\)?[\x20./-]{1,2}+[0-9]{2,5}+(?:[\x20./-][0-9]{2,5}+){1,4}+(?![0-9])",
 }
 #: What begins at a digit group of a card run and has a number of digits, up to the end of a group; and its greatest length.
@@ -52,25 +55,55 @@ CUES = {
     "email": "mail|e-mail|write|contact|reach|address|correo|courriel",
     "ip": "ip|host|server|address|login|from|client|connect",
     "card": "card|visa|master|amex|credit|debit|carte|karte|tarjeta|payment",
+    "secret": "token|secret|key|apikey|password|passwd|pwd|auth|bearer|credential|credentials",
     "phone": "phone|tel|call|fax|mobile|cell|dial|ring|téléphone|telefon|teléfono",
 }
 OTHER = "order|invoice|isbn|issn|version|section|page|pages|serial|ref|no|code|total|score|date|build|figure|table"
 FEATURES = ["kind", "digits", "length", "separators", "letters", "luhn", "octets", "brackets", "domain", "groups", "even", "cue", "other", "before", "after"]
 _SPAN = "array<struct<s:int,e:int,v:string>>"
+#: Matches of a block in running sums.
+RUN = 64
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often a lambda below refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def found(text: Column, pattern: str) -> Column:
-    """The matches of a pattern as an array of (start, end, match), in code points."""
-    gaps = F.split(text, pattern, -1)
-    pairs = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v, i: F.struct(F.length(F.get(gaps, i)).alias("g"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    """The matches of a pattern as an array of (start, end, match), in code points.
+
+    Starts are running sums over blocks of ``RUN`` matches and then over the blocks, so that no long array is copied for each match.
+    """
+    pieces = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"))
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         s = acc["at"] + p["g"]
         e = s + F.length(p["v"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), p["v"].alias("v")))).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def block(x: Column, b: Column) -> Column:
+        own = F.transform(F.slice(x["matches"], b * RUN + 1, RUN), lambda v, i: F.struct(F.length(F.get(x["gaps"], b * RUN + i)).alias("g"), v.alias("v")))
+        return F.aggregate(own, nothing, step)
+
+    def begins(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(blocks, start, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def moved(x: Column) -> Column:
+        shifted = lambda b, i: F.transform(b["out"], lambda c: F.struct((c["s"] + F.get(x["begins"], i)).alias("s"), (c["e"] + F.get(x["begins"], i)).alias("e"), c["v"].alias("v")))
+        return F.flatten(F.transform(x["blocks"], shifted))
+
+    def spans_of(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x["matches"]) - 1) / RUN).cast("int")), lambda b: block(x, b))
+        placed = _let(blocks, lambda y: moved_of(y))
+        return F.when(F.size(x["matches"]) == 0, F.array().cast(_SPAN)).otherwise(placed)
+
+    def moved_of(blocks: Column) -> Column:
+        return _let(F.struct(blocks.alias("blocks"), begins(blocks).alias("begins")), moved)
+
+    return _let(pieces, spans_of)
 
 
 def _digits(v: Column) -> Column:
@@ -124,7 +157,7 @@ def _features(kind: int):
 
 
 def _featured(c: Column, kind: int) -> Column:
-    name, v, text = KINDS[kind], c["v"], F.col("text")
+    name, v, text = ALL_KINDS[kind], c["v"], F.col("text")
     left = F.greatest(c["s"] - CONTEXT, F.lit(0))
     before, after = F.substr(text, left + 1, c["s"] - left), F.substr(text, c["e"] + 1, F.lit(CONTEXT))
     around = F.concat(before, F.lit(" | "), after)
@@ -151,13 +184,14 @@ def _featured(c: Column, kind: int) -> Column:
 
 def candidates() -> Column:
     """The proposed spans of ``text`` with their features, for texts that have digits or a spelt-out address."""
-    some = [F.transform(cards(F.col("text")) if name == "card" else found(F.col("text"), PROPOSED[name]), _features(k)) for k, name in enumerate(KINDS)]
+    some = [F.transform(cards(F.col("text")) if name == "card" else found(F.col("text"), PROPOSED[name]), _features(k)) for k, name in enumerate(ALL_KINDS)]
     lower = F.lower("text")
     gates = [
         lower.contains(" dot ") | lower.contains("[dot") | lower.contains("(dot") | lower.contains(" dot)"),
         F.col("text").rlike(r"(?i)[0-9]\x20?[\[(](?:\.|dot)"),
         F.col("text").rlike(r"[0-9][\x20./_-]?[0-9][\x20./_-]?[0-9]"),
         F.col("text").rlike(r"[0-9]\)?[\x20./-]{1,2}[0-9]{2}"),
+        F.col("text").rlike(r"(?i)[0-9][a-z0-9+/_-]{7}|[a-z0-9+/_-]{7}[0-9]"),
     ]
     kind = some[0]
     nothing = F.filter(kind, lambda c: F.lit(False))
@@ -195,17 +229,29 @@ def training_sentences(n: int = TRAINING_ROWS) -> list[tuple[str, int, int, int]
         a, b, c = digits(3), digits(3), digits(4)
         return draw.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{a} {b} {c}"]) if good or draw.random() < 0.6 else "-".join(digits(draw.choice([2, 4])) for _ in range(3))
 
+    def secret(good: bool) -> str:
+        alphabet = draw.choice(["0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEF"])
+        if good or draw.random() < 0.7:
+            return "".join(draw.choice(alphabet) for _ in range(draw.choice([20, 24, 32, 40, 40, 64]))) + draw.choice("0123456789")
+        return f"{word()}-{word()}-{word()}-{digits(2)}"
+
     makers = [spelt, address, card, phone]
     rows = []
-    for i in range(n):
+    for i in range(n * len(KINDS) // len(ALL_KINDS)):
         kind, good = i % 4, i // 4 % 2 == 0
         cued = good and (kind == 3 or draw.random() < 0.6)
-        cue = draw.choice(CUES[KINDS[kind]].split("|")) if cued else draw.choice(OTHER.split("|")) if not good and draw.random() < 0.5 else word()
+        cue = draw.choice(CUES[ALL_KINDS[kind]].split("|")) if cued else draw.choice(OTHER.split("|")) if not good and draw.random() < 0.5 else word()
         made, beside = makers[kind](good), random.Random(i)
         short = f"{beside.randint(1, 12):02}/{beside.randint(24, 35)}" if beside.random() < 0.5 else str(beside.randint(100, 999))
         left, right = ("", f" {short}") if kind == 2 and beside.random() < 0.3 else (f"{beside.randint(1, 99)} ", "") if kind == 2 and beside.random() < 0.3 else ("", "")
         head = f"{word()} {word()} {cue} {left}"
         rows.append((f"{head}{made}{right} {word()} {word()}.", int(good), len(head), len(head) + len(made)))
+    for i in range(len(rows), n):
+        good = i // 4 % 2 == 0
+        cue = draw.choice(CUES["secret"].split("|")) if good else draw.choice(OTHER.split("|")) if draw.random() < 0.5 else word()
+        left, right = draw.choice([(' = "', '"'), (": ", ""), ("=", ""), (" ", ""), (" = '", "'")])
+        head, made = f"{word()} {word()} {cue}{left}", secret(good)
+        rows.append((f"{head}{made}{right} {word()} {word()}.", int(good), len(head), len(head) + len(made)))
     return rows
 
 
@@ -247,7 +293,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> list:
 def thresholds(x: np.ndarray, y: np.ndarray, score: np.ndarray) -> list[float]:
     """For each kind the least score at which held-out rows have the precision asked for; infinite if there is none."""
     out = []
-    for kind in range(len(KINDS)):
+    for kind in range(len(ALL_KINDS)):
         own = x[:, 0] == kind
         order = np.argsort(-score[own], kind="stable")
         s, good = score[own][order], y[own][order]
@@ -312,7 +358,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def _joined(column: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(column, lambda c: F.concat(F.element_at(names, c["k"] + 1), F.lit(":"), c["s"].cast("string"), F.lit(":"), c["e"].cast("string"))), ",")
 
 
