@@ -7,12 +7,12 @@ text go and the rest is content. Statistics cover every distinct page of a host
 the pages is spread over all tasks.
 
 Where a page says itself what is not its article (nav, header, footer, aside, form, scripts, roles, class and id words) that is left
-out before alignment, and where it names its article (article, main) only that is read; paragraphs, headings, list items, quotations
-and tables there are content even if all pages of the host share them, such as copies of one article.
+out before alignment, and where it names its article (article, main) only that is read; template runs in its paragraphs,
+headings, list items, quotations and tables go too, unless they are half of these or more, as in copies of one article.
 
 White space inside a block becomes one space, blocks are trimmed and joined by an empty line, character references are decoded.
 Defined results: null and empty html have an empty text; html that is never closed is read to its end; repeated rows are each extracted;
-a page without a host is induced with the others that have none.
+a page without a host is induced with the others that have none; an empty table gives no rows. Further columns may have any names.
 """
 
 from __future__ import annotations
@@ -156,7 +156,10 @@ class Page:
         return [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 if t else 0 for t in self.texts]
 
     def text(self, gone: set[int] = frozenset()) -> str:
-        return "\n\n".join(t for i, t in enumerate(self.texts) if t and (i not in gone or self.prose[i]))
+        """The runs that are not template; template runs in prose of a named article stay where they are half of it or more, as in copies of one article."""
+        size = lambda only: sum(len(t) for i, t in enumerate(self.texts) if self.prose[i] and (not only or i in gone))
+        copied = bool(gone) and 2 * size(True) >= size(False)
+        return "\n\n".join(t for i, t in enumerate(self.texts) if t and (i not in gone or self.prose[i] and copied))
 
 
 class Tree:

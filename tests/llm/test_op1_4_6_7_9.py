@@ -184,6 +184,15 @@ def test_wrapper_induction_removes_what_a_host_repeats(spark):
     assert got[72] == got[73] == "" and op7.main_texts(pages.limit(0)).count() == 0
 
 
+def test_what_a_host_repeats_inside_its_articles_goes(spark):
+    page = lambda body: f"<html><body><article><h1>{body[:20]}</h1><p>{body}</p><p>Read more of us every day.</p></article></body></html>"
+    rows = [(i, f"https://a.org/{i}", page(R.prose(i, 30))) for i in range(8)] + [(10 + i, f"https://b.org/{i}", page(R.prose(99, 30)) + f"<footer>{i}</footer>") for i in range(8)]
+    got = {r.page_id: r.text for r in op7.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"{R.prose(i, 30)[:20].strip()}\n\n{R.prose(i, 30)}"
+        assert R.prose(99, 30) in got[10 + i]  # copies of one article
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
