@@ -9,6 +9,7 @@ into ranges, ranges are counted, and a prefix sum over the ranges gives each ran
 
 Defined results: a null text has size 1 and crc 0; null language or source is a value of its own; equal rows are ordered by
 size, checksum and id and, if wholly equal, in either order, which changes no column of the result; an empty table gives no rows.
+Further columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from codestrata.llm._common import cut, read, text_or_empty
 
 SHARDS, BITS = 16, 6
-#: Ranges into which the order is dealt; an even share of rows each.
-RANGES = 256
+#: Ranges into which the order is dealt, at least, and rows of a range beyond that; an even share of rows each.
+RANGES, RANGE_ROWS = 256, 1 << 20
 
 
 def cells() -> dict[str, Column]:
@@ -74,8 +75,9 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = rows.select("doc_id", "size", "text_crc32", *[c.alias(n) for n, c in cells().items()])
     rows = with_hilbert_index(rows, list(cells()), "curve")
     order = ["curve", "size", "text_crc32", "doc_id"]
-    dealt = cut(rows.repartitionByRange(RANGES, *order).withColumn("range", F.spark_partition_id()))
-    # one row a range, so at most RANGES rows meet in the window without a key and are sent to the executors
+    ranges = max(RANGES, docs.count() // RANGE_ROWS)
+    dealt = cut(rows.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    # one row a range, so as many rows as ranges meet in the window without a key and are sent to the executors
     counts = dealt.groupBy("range").agg(F.count("*").alias("n"))
     before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
@@ -90,16 +92,20 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """Write the documents as one folder of Parquet a shard, sorted along the curve.
 
-    Rows are matched by id, size and checksum; rows equal in these are alike and one of each is matched to each.
+    Rows are matched by id, size and checksum; rows equal in these are alike and one of each is matched to each. The caller's columns are
+    kept whatever their names, but for ``shard`` and ``slot``, which are those of the result.
     """
-    key = ["doc_id", "size", "text_crc32"]
+    key = ["__id", "__size", "__crc"]
     same = Window.partitionBy(*key)
-    placed = assign(docs, shards).withColumn("copy", F.row_number().over(same.orderBy("shard", "slot")))
-    own = docs.withColumns({"size": (F.octet_length(text_or_empty()) + 1).cast("long"), "text_crc32": F.crc32(text_or_empty().cast("binary"))})
-    own = own.withColumn("copy", F.row_number().over(same.orderBy("lang", "source")))
-    match = [own[k].eqNullSafe(placed[k]) for k in [*key, "copy"]]
-    on = match[0] & match[1] & match[2] & match[3]
-    joined = own.join(placed.select(*key, "copy", "shard", "slot"), on).select(*[own[c] for c in docs.columns], placed["shard"], placed["slot"])
+    placed = assign(docs, shards).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "shard", "slot")
+    placed = placed.withColumn("__copy", F.row_number().over(same.orderBy("shard", "slot")))
+    size, crc = (F.octet_length(text_or_empty()) + 1).cast("long"), F.crc32(text_or_empty().cast("binary"))
+    own = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), size.alias("__size"), crc.alias("__crc"))
+    own = own.withColumn("__copy", F.row_number().over(same.orderBy("__row.lang", "__row.source")))
+    on = own["__id"].eqNullSafe(placed["__id"])
+    for k in ("__size", "__crc", "__copy"):
+        on = on & (own[k] == placed[k])
+    joined = own.join(placed, on).select(*[F.col("__row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
     joined.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
