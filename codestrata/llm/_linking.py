@@ -173,14 +173,14 @@ def similarities(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return both / np.maximum(1, sizes[0][:, None] + sizes[1] - both)
 
 
-def _block_links(elements: Callable[[str], np.ndarray], threshold: float, binary: bool):
+def _block_links(elements: Callable[[str], np.ndarray], threshold: float, binary: bool, alike: Callable[[str, str], float]):
     kind = pa.binary() if binary else pa.int64()
 
     def links(rows: list[tuple]) -> list[tuple]:
         """Links that join the components of a unit as far as its verified pairs do: fewer than it has components."""
         if len(rows) == 2:
             (_, _, _, _, a, x, s), (_, _, _, _, b, y, t) = rows
-            return [(a, b)] if x != y and similarity(elements(s), elements(t)) >= threshold else []
+            return [(a, b)] if x != y and alike(s, t) >= threshold else []
         i, j, texts = rows[0][1], rows[0][2], [elements(r[6]) for r in rows]
         first = [n for n, r in enumerate(rows) if r[3] == i]
         other = first if i == j else [n for n, r in enumerate(rows) if r[3] == j]
@@ -258,10 +258,11 @@ def _relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
     return written(comp.join(new, "comp", "left").select("id", F.coalesce("low", "comp").alias("comp")).union(labels.filter("id <> comp")), "components")
 
 
-def linked(found: DataFrame, texts: DataFrame, elements: Callable[[str], np.ndarray], threshold: float) -> DataFrame:
+def linked(found: DataFrame, texts: DataFrame, elements: Callable[[str], np.ndarray], threshold: float, alike: Callable[[str, str], float] | None = None) -> DataFrame:
     """Components over ids that share a bucket and are alike, as ``(id, comp)`` with comp an id of the component; ids without a row stand alone.
 
     ``found(key, id, hub)`` are members, ``texts(id, text)`` the texts of all their ids, ``elements(text)`` the distinct elements of a text.
+    ``alike(x, y)`` is the similarity of two texts where there is a quicker way than by their elements.
     """
     kind = found.schema["id"].dataType.simpleString().replace("bigint", "long")
 
@@ -301,7 +302,7 @@ def linked(found: DataFrame, texts: DataFrame, elements: Callable[[str], np.ndar
     dealt = dealt.select("key", "id", "comp", "text", "block", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
     units = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "text")
     units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = written(units.mapInArrow(_block_links(elements, threshold, kind == "binary"), f"a {kind}, b {kind}"), "links")
+    links = written(units.mapInArrow(_block_links(elements, threshold, kind == "binary", alike or (lambda s, t: similarity(elements(s), elements(t)))), f"a {kind}, b {kind}"), "links")
     if links.isEmpty():
         return comp
     return _relabelled(comp, links)

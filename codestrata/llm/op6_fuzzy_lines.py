@@ -165,7 +165,8 @@ def _places(filtered):
 
 def line_similarity(x: str, y: str) -> float:
     a, b = ({t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))} for t in (x, y))
-    return len(a & b) / len(a | b)
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     packed_ids = docs.sparkSession.sparkContext.broadcast(_bits.packed(wanted, wanted.count()))
     seen = written(own.mapInArrow(_places(packed_ids), _PLACES), "line-places")
     alike = seen.filter("text is not null").select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    comp = linked(found, written(alike, "line-texts"), elements, THRESHOLD)
+    comp = linked(found, written(alike, "line-texts"), elements, THRESHOLD, line_similarity)
     comp = written(comp.union(comp.select(F.col("comp").alias("id"), "comp").distinct()), "line-components")
     here = F.struct(F.col("doc_id").isNotNull().alias("given"), F.col("doc_id").alias("doc_id"), F.col("tie").alias("tie"), F.col("line").alias("line"))
     nodes = seen.groupBy("id").agg(F.min(here).alias("least"), F.max(here).alias("last")).join(comp, "id", "left")
