@@ -7,7 +7,8 @@ the chunk to the least of them; so a key that a third of all rows share arrives
 Every id is first held against one hub, the least over its buckets, which turns groups of copies into one component. Buckets that then
 still span several components are compared in full, in blocks of ``BLOCK`` members, by a product of incidence matrices that gives
 the exact similarity of all pairs of a block. Where that would be many pairs a member, ids meet further hubs first, so that large groups
-shrink at linear cost. The result is that of verifying every pair that shares a bucket.
+shrink at linear cost; a round that leaves most pairs, as in buckets of texts that are half alike, is the last. The result is that of verifying
+every pair that shares a bucket.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from codestrata.llm._common import discard, written
 
-#: Members of a block; pairs a member above which buckets meet one more hub first; rounds of such hubs at most.
-BLOCK, PAIRS_A_MEMBER, HUB_ROUNDS = 256, 64, 6
+#: Members of a block; pairs a member above which buckets meet one more hub first; rounds of such hubs at most; share of the pairs that a round has to leave less than.
+BLOCK, PAIRS_A_MEMBER, HUB_ROUNDS, LEFT = 256, 64, 6, 0.75
 #: Slices of the key space for each shuffle partition; bytes of a packed row; columns of an incidence matrix at a time.
 SLICES, PACKED_BYTES, COLUMNS = 2, 8192, 8192
 
@@ -275,6 +276,7 @@ def linked(found: DataFrame, texts: DataFrame, elements: Callable[[str], np.ndar
     first = verified(least.select(F.col("hub").alias("a"), F.col("id").alias("b")))
     comp = _roots(written(first.select(F.col("b").alias("id"), F.col("a").alias("comp")), "parents"))
     rows = found.select("key", "id").union(found.select("key", F.col("hub").alias("id"))).distinct()
+    before = None
     for turn in range(HUB_ROUNDS + 1):
         known = rows.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
         each = known.groupBy("key", "comp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("of"), F.min("id").alias("low"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("hub"))
@@ -288,8 +290,9 @@ def linked(found: DataFrame, texts: DataFrame, elements: Callable[[str], np.ndar
         size = mixed.agg(F.count("*").alias("n"), F.sum("pairs").alias("pairs")).first()
         if not size.n:
             return comp
-        if turn == HUB_ROUNDS or size.pairs <= PAIRS_A_MEMBER * size.n:
+        if turn == HUB_ROUNDS or size.pairs <= PAIRS_A_MEMBER * size.n or before is not None and size.pairs > LEFT * before:
             break
+        before = size.pairs
         pairs = mixed.filter("comp <> hub_comp").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         more = written(verified(pairs), "links")
         if more.limit(1).isEmpty():
