@@ -5,7 +5,9 @@ it occurs. The weight axis of a shingle is cut into dyadic cells, and hashed dar
 gaps are hashed exponentials: the same for every document with that shingle. Darts inside the weight count; each coordinate keeps
 its earliest dart, so two documents agree in a coordinate with the probability of their weighted Jaccard similarity. Only about
 k ln k + 2k darts are thrown, however long the document is. Signatures are cut into bands; members of a band's bucket are verified
-by the exact weighted Jaccard similarity of their whole texts, and verified links are joined into classes (``_linking``).
+by the exact weighted Jaccard similarity of their whole texts, and verified links are joined into classes (``_linking``). Only texts that
+pass a Bloom filter of these members are shuffled: it is sized by their number, up to 64 MiB, beyond which it lets more texts pass, and an
+exact join follows.
 
 Defined results: a null, empty or blank text has no shingles and is linked to equal texts only (null to nothing); equal texts are one
 class, whatever their ids; a class is named by its least doc_id (null where it has none); an empty table gives no rows. Of rows that are
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.llm import _bits
 from codestrata.llm._common import mix, read, unit, written
 from codestrata.llm._linking import PACKED, ids_of, linked, members, packed, slices, words_of
 
@@ -138,6 +141,17 @@ def _sign(count: int):
     return run
 
 
+def _passing(filtered):
+    def run(batches):
+        bits = _bits.unpacked(filtered.value)
+        for batch in batches:
+            some = batch.filter(pa.array(_bits.maybe(bits, np.array(batch.column("key"), np.int64))))
+            if some.num_rows:
+                yield some.select(["id", "text"])
+
+    return run
+
+
 def _named(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__fp``, the md5 of each row's text (null for a null text), and ``__comp``, that of its class.
 
@@ -147,7 +161,9 @@ def _named(docs: DataFrame) -> DataFrame:
     texts = own.filter("text is not null").select(F.col("__fp").alias("fp"), "text")
     found = members(texts.mapInArrow(_sign(slices(docs)), PACKED), 2, True)
     wanted = written(ids_of(found), "ids")
-    alike = written(texts.withColumnRenamed("fp", "id").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    bits = docs.sparkSession.sparkContext.broadcast(_bits.packed(wanted.select(F.xxhash64("id")), wanted.count()))
+    near = texts.select(F.xxhash64("fp").alias("key"), F.col("fp").alias("id"), "text").mapInArrow(_passing(bits), "id binary, text string")
+    alike = written(near.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
     comp = linked(found, alike, elements, THRESHOLD).select(F.col("id").alias("__fp"), F.col("comp").alias("__comp"))
     return own.join(comp, "__fp", "left").withColumn("__comp", F.coalesce("__comp", "__fp"))
 
