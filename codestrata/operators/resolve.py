@@ -12,6 +12,8 @@ from codestrata.functions.expressions import basename, clean_path, directory
 
 #: Extensions tried for an import without one, in order.
 SCRIPT_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
+#: Parts into which the paths that name the same packages are dealt.
+PARTS = 64
 
 
 def _joined(base: Column, rest: Column) -> Column:
@@ -101,15 +103,33 @@ def resolve_rust(imports: DataFrame, paths: DataFrame) -> DataFrame:
     return lists.select("path", F.aggregate("all", F.array().cast("array<string>"), take).alias("deps"))
 
 
+def targets_of(wanted: DataFrame, packages: DataFrame, more: DataFrame) -> DataFrame:
+    """``(path, listed, more)``: for each path the members of all packages that it names, in order, and its further targets that are not among them.
+
+    Of ``wanted(path, package)``, ``packages(package, target)`` and ``more(path, target)``. The members are listed once for each set of packages that
+    some path names, and the lists go to the paths in ``PARTS``: pairs of a path and a member are neither shuffled nor compared.
+    """
+    known = wanted.join(packages.select("package").distinct(), "package", "left_semi").distinct()
+    listed = more.join(packages, "target").join(known, ["path", "package"], "left_semi").select("path", "target")
+    rest = more.join(listed, ["path", "target"], "left_anti").groupBy("path").agg(F.collect_set("target").alias("more"))
+    sets = known.groupBy("path").agg(F.sort_array(F.collect_set("package")).alias("packages"))
+    rows = sets.join(rest, "path", "full").withColumn("part", F.pmod(F.xxhash64("path"), F.lit(PARTS)))
+    named = rows.select("packages", "part").filter("packages is not null").distinct()
+    each = named.select("packages").distinct().select("packages", F.explode("packages").alias("package"))
+    lists = each.join(packages, "package").groupBy("packages").agg(F.sort_array(F.collect_set("target")).alias("listed"))
+    none = F.array().cast(rest.schema["more"].dataType)
+    return rows.join(named.join(lists, "packages"), ["packages", "part"], "left").select("path", F.coalesce("listed", none).alias("listed"), F.coalesce("more", none).alias("more"))
+
+
 def resolve_java(imports: DataFrame, units: DataFrame) -> DataFrame:
     """``(path, deps)`` of Java ``imports(path, ord, spec)``: all units of a package for ``p.*``, else the unit of a qualified type; of ``units(path, package)``."""
     own = units.filter("package <> ''")
     packages = own.select("package", F.col("path").alias("target"))
     types = own.select(F.concat("package", F.lit("."), F.regexp_replace(basename(F.col("path")), r"\.java$", "")).alias("type"), F.col("path").alias("target")).groupBy("type").agg(F.max("target").alias("target"))
     spec = F.trim("spec")
-    wild = imports.filter(spec.endswith(".*")).select("path", F.regexp_replace(spec, r"\.\*$", "").alias("package")).join(packages, "package").select("path", "target")
+    wild = imports.filter(spec.endswith(".*")).select("path", F.regexp_replace(spec, r"\.\*$", "").alias("package"))
     exact = imports.filter(~spec.endswith(".*")).select("path", spec.alias("type")).join(types, "type").select("path", "target")
-    return wild.union(exact).distinct().groupBy("path").agg(F.array_sort(F.collect_list("target")).alias("deps"))
+    return targets_of(wild, packages, exact).select("path", F.when(F.size("more") == 0, F.col("listed")).otherwise(F.sort_array(F.concat("listed", "more"))).alias("deps"))
 
 
 def resolve(units: DataFrame, include_dirs: list[str] | None = None) -> DataFrame:
