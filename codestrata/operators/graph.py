@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.expressions import cut, ratio, rounded
+from codestrata.operators.resolve import targets_of
 
 #: Up to so many edges, counted first, components are found on the driver; beyond, by colouring on the cluster.
 DRIVER_EDGES = 50_000
@@ -13,11 +14,12 @@ DRIVER_EDGES = 50_000
 
 def build_edges(units: DataFrame) -> DataFrame:
     """``(src, dst)``: resolved dependencies, and every unit of an imported package, of ``units(path, import_path, imports, deps)``; no self edges."""
-    paths = units.select(F.col("path").alias("dst"))
-    direct = units.select(F.col("path").alias("src"), F.explode("deps").alias("dst")).join(paths, "dst", "left_semi").select("src", "dst")
-    wanted = units.select(F.col("path").alias("src"), F.explode(F.array_distinct("imports")).alias("import_path"))
-    packages = units.filter("import_path <> ''").select("import_path", F.col("path").alias("dst"))
-    return direct.union(wanted.join(packages, "import_path").select("src", "dst")).filter("src <> dst").distinct()
+    paths = units.select(F.col("path").alias("target"))
+    direct = units.select("path", F.explode("deps").alias("target")).join(paths, "target", "left_semi").select("path", "target")
+    wanted = units.select("path", F.explode(F.array_distinct("imports")).alias("package"))
+    packages = units.filter("import_path <> ''").select(F.col("import_path").alias("package"), F.col("path").alias("target"))
+    found = targets_of(wanted, packages, direct)
+    return found.select(F.col("path").alias("src"), F.explode(F.when(F.size("more") == 0, F.col("listed")).otherwise(F.concat("listed", "more"))).alias("dst")).filter("src <> dst")
 
 
 def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:

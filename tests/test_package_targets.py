@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from codestrata.operators import resolve
+from codestrata.operators import graph, resolve
 
 
 def shuffled(spark, df):
@@ -30,3 +30,17 @@ def test_java_wildcards_shuffle_no_pairs(spark):
     found = resolve.resolve_java(units.select("path", F.lit(0).alias("ord"), F.lit("p.*").alias("spec")), units)
     assert found.agg(F.sum(F.size("deps"))).first()[0] == 2000 * 2000
     assert shuffled(spark, found) < 100_000
+
+
+def test_edges_of_packages_and_dependencies(spark):
+    rows = [("a", "p", ["q", "q", "r", "none"], ["b", "e", "a", "gone"]), ("b", "q", ["q"], []), ("c", "q", [], ["a"]), ("c", "r", ["p"], []), ("e", "", [""], ["e"])]
+    units = spark.createDataFrame(rows, "path string, import_path string, imports array<string>, deps array<string>")
+    got = [tuple(r) for r in graph.build_edges(units).collect()]
+    assert len(got) == len(set(got)) and set(got) == {("a", "b"), ("a", "c"), ("a", "e"), ("b", "c"), ("c", "a")}
+
+
+def test_edges_of_packages_shuffle_no_pairs(spark):
+    units = spark.range(2000).select(F.concat(F.lit("s/C"), "id").alias("path"), F.lit("p").alias("import_path"), F.array(F.lit("p")).alias("imports"), F.array().cast("array<string>").alias("deps"))
+    edges = graph.build_edges(units)
+    assert edges.count() == 2000 * 1999
+    assert shuffled(spark, edges) < 100_000
