@@ -43,9 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows written as Parquet to the shared folder and read again: compact, and pruned by column when reread."""
+def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """The same rows written as Parquet to the shared folder and read again: compact, and pruned by column when reread.
+
+    By ``tasks`` tasks at most. Without Hadoop's native library an executor starts a process for each permission it sets on a file or folder,
+    three or more a task, which costs more than the rows of a small frame and while it forks is counted as a second executor.
+    """
     spark = df.sparkSession
+    if tasks is not None and tasks < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(tasks)
     path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -26,6 +26,8 @@ from codestrata.llm._common import discard, written
 BLOCK, PAIRS_A_MEMBER, HUB_ROUNDS, LEFT = 256, 64, 6, 0.75
 #: Slices of the key space for each shuffle partition; bytes of a packed row; columns of an incidence matrix at a time.
 SLICES, PACKED_BYTES, COLUMNS = 2, 8192, 8192
+#: Rows of a frame that one task writes, and pairs that one task verifies, where fewer tasks than shuffle partitions do.
+ROWS_A_TASK, PAIRS_A_TASK = 50_000, 2_000
 
 PACKED = "slice int, entries binary, local binary"
 _PACKED = pa.schema([("slice", pa.int32()), ("entries", pa.binary()), ("local", pa.binary())])
@@ -35,6 +37,10 @@ def slices(df: DataFrame) -> int:
     return SLICES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _tasks(rows: int, each: int = ROWS_A_TASK) -> int:
+    return 1 + rows // each
+
+
 def words_of(ids: list[bytes] | np.ndarray) -> np.ndarray:
     """Ids as rows of unsigned 64-bit words: binary ids of a multiple of eight bytes, or int64."""
     if isinstance(ids, np.ndarray):
@@ -135,7 +141,12 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def _pair_links(elements: Callable[[str], np.ndarray], threshold: float):
+def set_similarity(x: set, y: set) -> float:
+    both = len(x & y)
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _pair_links(elements: Callable, threshold: float, similar: Callable[..., float]):
     def run(batches):
         last, hub = None, None
         for batch in batches:
@@ -143,38 +154,43 @@ def _pair_links(elements: Callable[[str], np.ndarray], threshold: float):
             for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 if a != last:
                     last, hub = a, elements(x)
-                keep.append(similarity(hub, elements(y)) >= threshold)
+                keep.append(similar(hub, elements(y)) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def similarities(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Jaccard similarities of all pairs of two lists of arrays of distinct elements."""
-    sizes = [np.array([len(v) for v in side], np.float32) for side in (x, y)]
-    flat = np.concatenate([*x, *y]) if x or y else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(x) + len(y)), np.concatenate(sizes).astype(np.int64))
+def similarities(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> np.ndarray:
+    """Jaccard similarities of all pairs of two lists of arrays of distinct elements, or of one list with itself."""
+    texts = x if y is None else [*x, *y]
+    lengths = np.array([len(v) for v in texts], np.int64)
+    flat = np.concatenate(texts) if texts else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(texts)), lengths)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    new = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.empty(0, bool)
-    column = np.cumsum(new) - 1
+    column = np.cumsum(np.r_[True, flat[1:] != flat[:-1]]) - 1 if len(flat) else np.empty(0, np.int64)
     left = owner < len(x)
-    total = int(column[-1]) + 1 if len(column) else 0
-    shared = (np.bincount(column[left], minlength=total) > 0) & (np.bincount(column[~left], minlength=total) > 0)
+    if y is None:
+        shared = np.bincount(column) > 1
+    else:
+        total = int(column[-1]) + 1 if len(column) else 0
+        shared = (np.bincount(column[left], minlength=total) > 0) & (np.bincount(column[~left], minlength=total) > 0)
     keep = shared[column]
     owner, column, left = owner[keep], (np.cumsum(shared) - 1)[column[keep]], left[keep]
-    both = np.zeros((len(x), len(y)), np.float32)
-    for at in range(0, int(shared.sum()), COLUMNS):
+    count = int(shared.sum())
+    both = np.zeros((len(x), len(x if y is None else y)), np.float32)
+    for at in range(0, count, COLUMNS):
         a, b = np.searchsorted(column, [at, at + COLUMNS])
-        one, two = np.zeros((len(x), COLUMNS), np.float32), np.zeros((len(y), COLUMNS), np.float32)
-        side, own, col = left[a:b], owner[a:b], column[a:b] - at
-        one[own[side], col[side]] = 1
-        two[own[~side] - len(x), col[~side]] = 1
-        both += one @ two.T
-    return both / np.maximum(1, sizes[0][:, None] + sizes[1] - both)
+        incidence = np.zeros((len(texts), min(COLUMNS, count - at)), np.float32)
+        incidence[owner[a:b], column[a:b] - at] = 1
+        both += incidence[: len(x)] @ (incidence if y is None else incidence[len(x) :]).T
+    one, two = lengths[: len(x)].astype(np.float32), lengths[0 if y is None else len(x) :].astype(np.float32)
+    if y is None:
+        np.fill_diagonal(both, one)  # elements of one text only have no column
+    return both / np.maximum(1, one[:, None] + two - both)
 
 
-def _block_links(elements: Callable[[str], np.ndarray], threshold: float, binary: bool, alike: Callable[[str, str], float]):
+def _block_links(many: Callable[[list[str]], list[np.ndarray]], threshold: float, binary: bool, alike: Callable[[str, str], float]):
     kind = pa.binary() if binary else pa.int64()
 
     def links(rows: list[tuple]) -> list[tuple]:
@@ -182,10 +198,10 @@ def _block_links(elements: Callable[[str], np.ndarray], threshold: float, binary
         if len(rows) == 2:
             (_, _, _, _, a, x, s), (_, _, _, _, b, y, t) = rows
             return [(a, b)] if x != y and alike(s, t) >= threshold else []
-        i, j, texts = rows[0][1], rows[0][2], [elements(r[6]) for r in rows]
+        i, j, texts = rows[0][1], rows[0][2], many([r[6] for r in rows])
         first = [n for n, r in enumerate(rows) if r[3] == i]
         other = first if i == j else [n for n, r in enumerate(rows) if r[3] == j]
-        near = similarities([texts[n] for n in first], [texts[n] for n in other]) >= threshold
+        near = similarities([texts[n] for n in first], None if i == j else [texts[n] for n in other]) >= threshold
         root = {r[5]: r[5] for r in rows}
 
         def find(c):
@@ -218,20 +234,21 @@ def _block_links(elements: Callable[[str], np.ndarray], threshold: float, binary
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, count: int | None = None) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(id, comp)`` with comp the least id: least labels of neighbours with pointer jumping.
 
-    Labels only fall, and every round halves the distance along label chains, so long chains take a logarithmic number of rounds. Rounds are written
+    ``count`` is the number of edges where it is known. Labels only fall, and every round halves the distance along label chains, so long chains take a logarithmic number of rounds. Rounds are written
     as files: a checkpoint would keep the constraints of its plan, which multiply from round to round.
     """
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("peer")).filter("id <> peer")
-    both = written(both.union(both.select("peer", "id")).distinct(), "edges")
-    labels = written(both.groupBy("id").agg(F.min("peer").alias("low")).select("id", F.least("id", "low").alias("comp")), "labels")
+    tasks = _tasks(2 * (edges.count() if count is None else count))
+    both = written(both.union(both.select("peer", "id")).distinct(), "edges", tasks)
+    labels = written(both.groupBy("id").agg(F.min("peer").alias("low")).select("id", F.least("id", "low").alias("comp")), "labels", tasks)
     while True:
         low = both.join(labels.select(F.col("id").alias("peer"), "comp"), "peer").groupBy("id").agg(F.min("comp").alias("low"))
-        near = written(labels.join(low, "id").select("id", F.least("comp", "low").alias("comp"), F.col("comp").alias("was")), "labels")
+        near = written(labels.join(low, "id").select("id", F.least("comp", "low").alias("comp"), F.col("comp").alias("was")), "labels", tasks)
         jump = near.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-        after = written(near.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "was"), "labels")
+        after = written(near.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "was"), "labels", tasks)
         discard(labels, near)
         labels = after.select("id", "comp")
         if after.filter("comp <> was").isEmpty():
@@ -241,9 +258,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _roots(parents: DataFrame) -> DataFrame:
     """``(id, comp)`` from ``parents(id, comp)``, each with a lesser parent: pointers are doubled until all are roots."""
+    tasks = _tasks(parents.count())
     while True:
         up = parents.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-        after = written(parents.join(up, "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")), "roots")
+        after = written(parents.join(up, "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")), "roots", tasks)
         discard(parents)
         parents = after
         if after.filter("moved").isEmpty():
@@ -254,31 +272,34 @@ def _relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links; ids without a row are their own component."""
     own = lambda side: comp.select(F.col("id").alias(side), F.col("comp").alias(f"comp_{side}"))
     edges = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
-    labels = components(edges)
+    labels = components(edges, links.count())
     new = labels.select(F.col("id").alias("comp"), F.col("comp").alias("low"))
-    return written(comp.join(new, "comp", "left").select("id", F.coalesce("low", "comp").alias("comp")).union(labels.filter("id <> comp")), "components")
+    after = comp.join(new, "comp", "left").select("id", F.coalesce("low", "comp").alias("comp")).union(labels.filter("id <> comp"))
+    return written(after, "components", _tasks(comp.count() + links.count()))
 
 
-def linked(found: DataFrame, texts: DataFrame, elements: Callable[[str], np.ndarray], threshold: float, alike: Callable[[str, str], float] | None = None) -> DataFrame:
+def linked(found: DataFrame, texts: DataFrame, elements: Callable[[str], np.ndarray], threshold: float, sets: Callable[[str], set] | None = None, many: Callable[[list[str]], list[np.ndarray]] | None = None) -> DataFrame:
     """Components over ids that share a bucket and are alike, as ``(id, comp)`` with comp an id of the component; ids without a row stand alone.
 
     ``found(key, id, hub)`` are members, ``texts(id, text)`` the texts of all their ids, ``elements(text)`` the distinct elements of a text.
-    ``alike(x, y)`` is the similarity of two texts where there is a quicker way than by their elements.
+    ``sets(text)`` gives a Python set of as many elements where that is quicker for a pair of short texts, ``many(texts)`` the elements of each of several.
     """
+    parts, similar = (sets, set_similarity) if sets else (elements, similarity)
     kind = found.schema["id"].dataType.simpleString().replace("bigint", "long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
         x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_pair_links(elements, threshold), f"a {kind}, b {kind}")
+        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_pair_links(parts, threshold, similar), f"a {kind}, b {kind}")
 
     least = found.groupBy("id").agg(F.min("hub").alias("hub"))
     first = verified(least.select(F.col("hub").alias("a"), F.col("id").alias("b")))
     comp = _roots(written(first.select(F.col("b").alias("id"), F.col("a").alias("comp")), "parents"))
     rows = found.select("key", "id").union(found.select("key", F.col("hub").alias("id"))).distinct()
+    tasks = _tasks(2 * found.count())
     before = None
     for turn in range(HUB_ROUNDS + 1):
-        known = rows.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        known = rows.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
         each = known.groupBy("key", "comp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("of"), F.min("id").alias("low"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("hub"))
         # of each bucket its members, its pairs across components, and a hub from its largest component; of buckets with the same members one
         buckets = each.groupBy("key").agg(
@@ -286,7 +307,7 @@ def linked(found: DataFrame, texts: DataFrame, elements: Callable[[str], np.ndar
         )
         one = F.min_by(F.struct("key", "same", "most"), "key").alias("one")
         buckets = buckets.filter("parts > 1").groupBy("n", "of", "low").agg(one).select("n", "one.*")
-        mixed = written(known.join(buckets, "key").select("key", "id", "comp", "n", F.expr("(n * n - same) / (2 * n)").alias("pairs"), F.col("most.hub").alias("hub"), F.col("most.comp").alias("hub_comp")), "mixed")
+        mixed = written(known.join(buckets, "key").select("key", "id", "comp", "n", F.expr("(n * n - same) / (2 * n)").alias("pairs"), F.col("most.hub").alias("hub"), F.col("most.comp").alias("hub_comp")), "mixed", tasks)
         size = mixed.agg(F.count("*").alias("n"), F.sum("pairs").alias("pairs")).first()
         if not size.n:
             return comp
@@ -294,18 +315,20 @@ def linked(found: DataFrame, texts: DataFrame, elements: Callable[[str], np.ndar
             break
         before = size.pairs
         pairs = mixed.filter("comp <> hub_comp").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        more = written(verified(pairs), "links")
+        more = written(verified(pairs), "links", _tasks(size.n, PAIRS_A_TASK))
         if more.limit(1).isEmpty():
             break
         after = _relabelled(comp, more)
-        discard(comp, more, mixed)
-        comp = after
+        discard(comp, more, rows)
+        # buckets of one component stay so: the next turn reads the others only
+        comp, rows = after, mixed
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = mixed.withColumn("count", count).withColumn("block", F.pmod(F.xxhash64("id"), "count").cast("int")).join(texts, "id")
     dealt = dealt.select("key", "id", "comp", "text", "block", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
     units = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "text")
     units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = written(units.mapInArrow(_block_links(elements, threshold, kind == "binary", alike or (lambda s, t: similarity(elements(s), elements(t)))), f"a {kind}, b {kind}"), "links")
+    several = many or (lambda some: [elements(t) for t in some])
+    links = written(units.mapInArrow(_block_links(several, threshold, kind == "binary", lambda s, t: similar(parts(s), parts(t))), f"a {kind}, b {kind}"), "links")
     if links.isEmpty():
         return comp
     return _relabelled(comp, links)

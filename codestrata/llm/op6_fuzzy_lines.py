@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm import _bits
 from codestrata.llm._common import mix, read, text_or_empty, written
-from codestrata.llm._linking import PACKED, ids_of, linked, members, packed, slices, words_of
+from codestrata.llm._linking import PACKED, ids_of, linked, members, packed, set_similarity, slices, words_of
 
 #: 5 characters: a line of 49 or more with one changed character keeps a similarity of 0.8; a shorter one need not.
 #: 16 bands of 6: at a similarity of 0.8 one pair in 130 shares no band, at 0.85 one in 2,500; at 0.3 one in 85 shares one.
@@ -70,6 +70,21 @@ def elements(line: str) -> np.ndarray:
     return np.unique(_hashed([line])[0])
 
 
+def elements_of(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingle hashes of each line."""
+    h, lengths = _hashed(lines)
+    ends = np.cumsum(lengths)
+    inside = np.ones(len(h), bool)
+    inside[(ends[:-1, None] - np.arange(1, SHINGLE)).ravel()] = False
+    h, owner = h[inside], np.repeat(np.arange(len(lines)), lengths)[: len(h)][inside]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
+    h, owner = h[new], owner[new]
+    cuts = np.searchsorted(owner, np.arange(len(lines) + 1)).tolist()
+    return [h[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """A row of BANDS * ROWS minima for each line."""
     h, lengths = _hashed(lines)
@@ -163,10 +178,14 @@ def _places(filtered):
     return run
 
 
+def line_set(line: str) -> set[str]:
+    """The distinct shingles of a line as strings, padded as ``elements`` are."""
+    line = line if len(line) >= SHINGLE else line.ljust(SHINGLE, "\0")
+    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+
+
 def line_similarity(x: str, y: str) -> float:
-    a, b = ({t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))} for t in (x, y))
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
+    return set_similarity(line_set(x), line_set(y))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -177,7 +196,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     packed_ids = docs.sparkSession.sparkContext.broadcast(_bits.packed(wanted, wanted.count()))
     seen = written(own.mapInArrow(_places(packed_ids), _PLACES), "line-places")
     alike = seen.filter("text is not null").select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    comp = linked(found, written(alike, "line-texts"), elements, THRESHOLD, line_similarity)
+    comp = linked(found, written(alike, "line-texts"), elements, THRESHOLD, line_set, elements_of)
     comp = written(comp.union(comp.select(F.col("comp").alias("id"), "comp").distinct()), "line-components")
     here = F.struct(F.col("doc_id").isNotNull().alias("given"), F.col("doc_id").alias("doc_id"), F.col("tie").alias("tie"), F.col("line").alias("line"))
     nodes = seen.groupBy("id").agg(F.min(here).alias("least"), F.max(here).alias("last")).join(comp, "id", "left")
