@@ -28,6 +28,8 @@ BLOCK, PAIRS_A_MEMBER, HUB_ROUNDS, LEFT = 256, 64, 6, 0.75
 SLICES, PACKED_BYTES, COLUMNS = 2, 8192, 8192
 #: Rows of a frame that one task writes, and pairs that one task verifies, where fewer tasks than shuffle partitions do.
 ROWS_A_TASK, PAIRS_A_TASK = 50_000, 2_000
+#: Characters of units of two members that are compared together.
+TOGETHER = 1 << 20
 
 PACKED = "slice int, entries binary, local binary"
 _PACKED = pa.schema([("slice", pa.int32()), ("entries", pa.binary()), ("local", pa.binary())])
@@ -59,7 +61,7 @@ def _id_column(words: np.ndarray, binary: bool) -> pa.Array:
 
 def _hubs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct entries (key, ids words) in order, and for each the place of the first, which is the least, of its key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     new = np.r_[True, k[1:] != k[:-1]]
     alone = new & np.r_[new[1:], True]
@@ -85,7 +87,7 @@ def packed(keys: np.ndarray, ids: np.ndarray, count: int) -> pa.RecordBatch:
     rows: list[tuple[int, bytes, bytes]] = []
     for table, empty in ((entries, lambda s, x: (s, x, b"")), (local, lambda s, x: (s, b"", x))):
         slot = (table[:, 0] >> np.uint64(32)) % np.uint64(count)
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot.astype(np.uint16) if count < 1 << 16 else slot, kind="stable")  # small numbers are sorted by digits
         table, slot = table[order], slot[order]
         cuts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.empty(0, np.int64)
         step = max(1, PACKED_BYTES // (8 * table.shape[1]))
@@ -146,16 +148,11 @@ def set_similarity(x: set, y: set) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def _pair_links(elements: Callable, threshold: float, similar: Callable[..., float]):
+def _pair_links(alike: Callable[[list[str], list[str]], np.ndarray], threshold: float):
     def run(batches):
-        last, hub = None, None
         for batch in batches:
-            keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                if a != last:
-                    last, hub = a, elements(x)
-                keep.append(similar(hub, elements(y)) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = alike(batch.column("x").to_pylist(), batch.column("y").to_pylist()) >= threshold
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -163,45 +160,63 @@ def _pair_links(elements: Callable, threshold: float, similar: Callable[..., flo
 def similarities(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> np.ndarray:
     """Jaccard similarities of all pairs of two lists of arrays of distinct elements, or of one list with itself."""
     texts = x if y is None else [*x, *y]
-    lengths = np.array([len(v) for v in texts], np.int64)
     flat = np.concatenate(texts) if texts else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    owner = np.repeat(np.arange(len(texts)), [len(v) for v in texts])
+    order = np.argsort(flat)
+    return similarities_of(flat[order], owner[order], len(x), None if y is None else len(y))
+
+
+def similarities_of(flat: np.ndarray, owner: np.ndarray, one: int, two: int | None) -> np.ndarray:
+    """The same from the elements of all texts in order, each with the number of its text: below ``one`` for the first list."""
+    lengths = np.bincount(owner, minlength=one + (two or 0))
     column = np.cumsum(np.r_[True, flat[1:] != flat[:-1]]) - 1 if len(flat) else np.empty(0, np.int64)
-    left = owner < len(x)
-    if y is None:
+    left = owner < one
+    if two is None:
         shared = np.bincount(column) > 1
     else:
         total = int(column[-1]) + 1 if len(column) else 0
         shared = (np.bincount(column[left], minlength=total) > 0) & (np.bincount(column[~left], minlength=total) > 0)
     keep = shared[column]
-    owner, column, left = owner[keep], (np.cumsum(shared) - 1)[column[keep]], left[keep]
+    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
     count = int(shared.sum())
-    both = np.zeros((len(x), len(x if y is None else y)), np.float32)
+    both = np.zeros((one, one if two is None else two), np.float32)
     for at in range(0, count, COLUMNS):
         a, b = np.searchsorted(column, [at, at + COLUMNS])
-        incidence = np.zeros((len(texts), min(COLUMNS, count - at)), np.float32)
+        incidence = np.zeros((len(lengths), min(COLUMNS, count - at)), np.float32)
         incidence[owner[a:b], column[a:b] - at] = 1
-        both += incidence[: len(x)] @ (incidence if y is None else incidence[len(x) :]).T
-    one, two = lengths[: len(x)].astype(np.float32), lengths[0 if y is None else len(x) :].astype(np.float32)
-    if y is None:
-        np.fill_diagonal(both, one)  # elements of one text only have no column
-    return both / np.maximum(1, one[:, None] + two - both)
+        both += incidence[:one] @ (incidence if two is None else incidence[one:]).T
+    first, second = lengths[:one].astype(np.float32), lengths[0 if two is None else one :].astype(np.float32)
+    if two is None:
+        np.fill_diagonal(both, first)  # elements of one text only have no column
+    return both / np.maximum(1, first[:, None] + second - both)
+
+
+def by_elements(elements: Callable[[str], np.ndarray]) -> tuple[Callable, Callable]:
+    """``alike`` and ``every`` of ``linked`` from the distinct elements of each text."""
 
+    def alike(x: list[str], y: list[str]) -> np.ndarray:
+        out, last, hub = [], None, np.empty(0)
+        for s, t in zip(x, y, strict=True):
+            if s != last:
+                last, hub = s, elements(s)
+            out.append(similarity(hub, elements(t)))
+        return np.array(out, np.float64)
 
-def _block_links(many: Callable[[list[str]], list[np.ndarray]], threshold: float, binary: bool, alike: Callable[[str, str], float]):
+    def every(x: list[str], y: list[str] | None) -> np.ndarray:
+        return similarities([elements(t) for t in x], None if y is None else [elements(t) for t in y])
+
+    return alike, every
+
+
+def _block_links(alike: Callable[[list[str], list[str]], np.ndarray], every: Callable[..., np.ndarray], threshold: float, binary: bool):
     kind = pa.binary() if binary else pa.int64()
 
     def links(rows: list[tuple]) -> list[tuple]:
         """Links that join the components of a unit as far as its verified pairs do: fewer than it has components."""
-        if len(rows) == 2:
-            (_, _, _, _, a, x, s), (_, _, _, _, b, y, t) = rows
-            return [(a, b)] if x != y and alike(s, t) >= threshold else []
-        i, j, texts = rows[0][1], rows[0][2], many([r[6] for r in rows])
-        first = [n for n, r in enumerate(rows) if r[3] == i]
-        other = first if i == j else [n for n, r in enumerate(rows) if r[3] == j]
-        near = similarities([texts[n] for n in first], None if i == j else [texts[n] for n in other]) >= threshold
+        i, j = rows[0][1], rows[0][2]
+        first = [r for r in rows if r[3] == i]
+        other = first if i == j else [r for r in rows if r[3] == j]
+        near = every([r[6] for r in first], None if i == j else [r[6] for r in other]) >= threshold
         root = {r[5]: r[5] for r in rows}
 
         def find(c):
@@ -210,8 +225,8 @@ def _block_links(many: Callable[[list[str]], list[np.ndarray]], threshold: float
             return c
 
         found = []
-        for p, q in zip(*np.nonzero(near), strict=True):
-            a, b = rows[first[p]], rows[other[q]]
+        for p, q in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1) if i == j else near)), strict=True):
+            a, b = first[p], other[q]
             if a[5] != b[5] and (x := find(a[5])) != (y := find(b[5])):
                 root[x] = y
                 found.append((a[4], b[4]))
@@ -222,14 +237,41 @@ def _block_links(many: Callable[[list[str]], list[np.ndarray]], threshold: float
 
     def run(batches):
         rows: list[tuple] = []
+        two: list[tuple] = []  # units of two members: they are compared together
+        found: list[tuple] = []
+        size = 0
+
+        def compare():
+            near = alike([r[6] for r, _ in two], [s[6] for _, s in two]) >= threshold
+            found.extend((r[4], s[4]) for (r, s), is_near in zip(two, near.tolist(), strict=True) if is_near)
+            two.clear()
+
+        def end() -> int:
+            """Characters put off."""
+            if len(rows) > 2:
+                found.extend(links(rows))
+            elif len(rows) == 2 and rows[0][5] != rows[1][5]:
+                two.append(tuple(rows))
+                return len(rows[0][6]) + len(rows[1][6])
+            return 0
+
         for batch in batches:
             for row in zip(*(batch.column(n).to_pylist() for n in ("key", "i", "j", "block", "id", "comp", "text")), strict=True):
                 if rows and row[:3] != rows[0][:3]:
-                    yield out(links(rows))
-                    rows = []
+                    size += end()
+                    rows.clear()
+                    if size >= TOGETHER:
+                        compare()
+                        size = 0
                 rows.append(row)
-        if rows:
-            yield out(links(rows))
+            if found:
+                yield out(found)
+                found.clear()
+        end()
+        if two:
+            compare()
+        if found:
+            yield out(found)
 
     return run
 
@@ -278,19 +320,18 @@ def _relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
     return written(after, "components", _tasks(comp.count() + links.count()))
 
 
-def linked(found: DataFrame, texts: DataFrame, elements: Callable[[str], np.ndarray], threshold: float, sets: Callable[[str], set] | None = None, many: Callable[[list[str]], list[np.ndarray]] | None = None) -> DataFrame:
+def linked(found: DataFrame, texts: DataFrame, alike: Callable[[list[str], list[str]], np.ndarray], every: Callable[[list[str], list[str] | None], np.ndarray], threshold: float) -> DataFrame:
     """Components over ids that share a bucket and are alike, as ``(id, comp)`` with comp an id of the component; ids without a row stand alone.
 
-    ``found(key, id, hub)`` are members, ``texts(id, text)`` the texts of all their ids, ``elements(text)`` the distinct elements of a text.
-    ``sets(text)`` gives a Python set of as many elements where that is quicker for a pair of short texts, ``many(texts)`` the elements of each of several.
+    ``found(key, id, hub)`` are members, ``texts(id, text)`` the texts of all their ids. ``alike(x, y)`` gives the similarities of two lists of
+    texts one by one, ``every(x, y)`` those of all pairs of them, or of all pairs in x where y is None.
     """
-    parts, similar = (sets, set_similarity) if sets else (elements, similarity)
     kind = found.schema["id"].dataType.simpleString().replace("bigint", "long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
         x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_pair_links(parts, threshold, similar), f"a {kind}, b {kind}")
+        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_pair_links(alike, threshold), f"a {kind}, b {kind}")
 
     least = found.groupBy("id").agg(F.min("hub").alias("hub"))
     first = verified(least.select(F.col("hub").alias("a"), F.col("id").alias("b")))
@@ -327,8 +368,7 @@ def linked(found: DataFrame, texts: DataFrame, elements: Callable[[str], np.ndar
     dealt = dealt.select("key", "id", "comp", "text", "block", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("other"))
     units = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "text")
     units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    several = many or (lambda some: [elements(t) for t in some])
-    links = written(units.mapInArrow(_block_links(several, threshold, kind == "binary", lambda s, t: similar(parts(s), parts(t))), f"a {kind}, b {kind}"), "links")
+    links = written(units.mapInArrow(_block_links(alike, every, threshold, kind == "binary"), f"a {kind}, b {kind}"), "links")
     if links.isEmpty():
         return comp
     return _relabelled(comp, links)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm import _bits
 from codestrata.llm._common import mix, read, unit, written
-from codestrata.llm._linking import PACKED, ids_of, linked, members, packed, slices, words_of
+from codestrata.llm._linking import PACKED, by_elements, ids_of, linked, members, packed, slices, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 20 bands of 6 coordinates: at a similarity of 0.8 one pair in 435 shares no band, at 0.5 one pair in four shares one.
@@ -164,7 +164,7 @@ def _named(docs: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(_bits.packed(wanted.select(F.xxhash64("id")), wanted.count()))
     near = texts.select(F.xxhash64("fp").alias("key"), F.col("fp").alias("id"), "text").mapInArrow(_passing(bits), "id binary, text string")
     alike = written(near.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
-    comp = linked(found, alike, elements, THRESHOLD).select(F.col("id").alias("__fp"), F.col("comp").alias("__comp"))
+    comp = linked(found, alike, *by_elements(elements), THRESHOLD).select(F.col("id").alias("__fp"), F.col("comp").alias("__comp"))
     return own.join(comp, "__fp", "left").withColumn("__comp", F.coalesce("__comp", "__fp"))
 
 

@@ -3,8 +3,8 @@
 Lines with a word are compared as sets of shingles of ``SHINGLE`` characters (the whole line where it is shorter). A signature holds the least
 shingle hash of each of ``BANDS * ROWS`` bins (one permutation; an empty bin borrows from the first full one in an order of its own, so
 that the bins of a band stay independent in short lines) and is cut into bands. Equal lines are one node. Lines that share a band are
-verified by the exact Jaccard similarity of their shingles and joined into components by distributed union-find (``_linking``); the
-occurrence with the least (doc_id, text, line number) of a component stays, all others go.
+verified by the exact Jaccard similarity of their shingles, which count as hashes of 54 bits or more, and joined into components by
+distributed union-find (``_linking``); the occurrence with the least (doc_id, text, line number) of a component stays, all others go.
 
 Signatures are computed once and sent packed; a second pass over the texts lists the places of all lines, with the text of those that
 share a band with another. These are picked by a Bloom filter sized by their number, up to 64 MiB; beyond that it lets more texts pass, and the
@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from codestrata.llm import _bits
 from codestrata.llm._common import mix, read, text_or_empty, written
-from codestrata.llm._linking import PACKED, ids_of, linked, members, packed, set_similarity, slices, words_of
+from codestrata.llm._linking import PACKED, ids_of, linked, members, packed, set_similarity, similarities_of, slices, words_of
 
 #: 5 characters: a line of 49 or more with one changed character keeps a similarity of 0.8; a shorter one need not.
 #: 16 bands of 6: at a similarity of 0.8 one pair in 130 shares no band, at 0.85 one in 2,500; at 0.3 one in 85 shares one.
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 6
-#: Characters whose shingles are hashed at a time; lines whose entries are packed at a time.
-CHUNK, LINES = 1 << 18, 1 << 14
+#: Characters whose shingles are hashed at a time; lines whose entries are packed at a time; characters of pairs that are compared at a time.
+CHUNK, LINES, PAIRED = 1 << 16, 1 << 14, 1 << 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIER = np.uint64(0xD1342543DE82EF95)
@@ -65,24 +65,61 @@ def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, lengths
 
 
-def elements(line: str) -> np.ndarray:
-    """The distinct shingle hashes of a line."""
-    return np.unique(_hashed([line])[0])
+def _numbered(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the lines' shingles one after the other and the end of each line; places where none begins repeat the line's first."""
+    h, lengths = _hashed(lines)
+    ends = np.cumsum(lengths)
+    h[ends[:-1, None] - np.arange(1, SHINGLE)] = h[(ends - lengths)[:-1], None]
+    ends[-1] = len(h)
+    return h, ends
 
 
 def elements_of(lines: list[str]) -> list[np.ndarray]:
     """The distinct shingle hashes of each line."""
-    h, lengths = _hashed(lines)
-    ends = np.cumsum(lengths)
-    inside = np.ones(len(h), bool)
-    inside[(ends[:-1, None] - np.arange(1, SHINGLE)).ravel()] = False
-    h, owner = h[inside], np.repeat(np.arange(len(lines)), lengths)[: len(h)][inside]
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
-    h, owner = h[new], owner[new]
-    cuts = np.searchsorted(owner, np.arange(len(lines) + 1)).tolist()
-    return [h[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    h, ends = _numbered(lines)
+    return [np.unique(x) for x in np.split(h, ends[:-1])]
+
+
+def elements(line: str) -> np.ndarray:
+    """The distinct shingle hashes of a line."""
+    return elements_of([line])[0]
+
+
+def alike(x: list[str], y: list[str]) -> np.ndarray:
+    """Jaccard similarities of the lines of two lists one by one; shingles count as 63-bit hashes, the last bit tells the line."""
+    out, at = [np.empty(0)], 0
+    while at < len(x):
+        lines, size = [], 0
+        while at < len(x) and size < PAIRED:
+            lines += (x[at], y[at])
+            size += len(x[at]) + len(y[at])
+            at += 1
+        h, ends = _numbered(lines)
+        h &= ~np.uint64(1)
+        for a, b in zip(ends[::2].tolist(), ends[1::2].tolist(), strict=True):
+            h[a:b] |= np.uint64(1)
+        cuts = np.r_[0, ends[1::2]]
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            h[a:b].sort()
+        change = h[1:] ^ h[:-1]
+        change[cuts[1:-1] - 1] = _FULL
+        own = np.diff(np.searchsorted(np.flatnonzero(change) + 1, cuts)) + (cuts[:-1] == 0)
+        union = np.diff(np.searchsorted(np.flatnonzero(change > 1) + 1, cuts)) + (cuts[:-1] == 0)
+        out.append((own - union) / union)
+    return np.concatenate(out)
+
+
+def every(x: list[str], y: list[str] | None = None) -> np.ndarray:
+    """Jaccard similarities of all pairs of two lists of lines, or of one with itself; the last bits of the hashes give way to the line's number, about nine for two full blocks."""
+    lines = x if y is None else [*x, *y]
+    h, ends = _numbered(lines)
+    bits = np.uint64((len(lines) - 1).bit_length())
+    last = (np.uint64(1) << bits) - np.uint64(1)
+    h &= ~last
+    h |= np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.r_[0, ends]))
+    h.sort()
+    h = h[np.r_[True, h[1:] != h[:-1]]]
+    return similarities_of(h >> bits, (h & last).astype(np.int64), len(x), None if y is None else len(y))
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -140,7 +177,7 @@ def _sign(count: int):
                 for _, line in lines_of(text):
                     lines[_name(line)] = line
                     size += len(line)
-                    if len(lines) >= LINES or size >= 64 * CHUNK:
+                    if len(lines) >= LINES or size >= 256 * CHUNK:
                         yield flush()
                         lines.clear()
                         size = 0
@@ -156,24 +193,32 @@ _PLACES = "doc_id long, tie long, line int, id long, text string"
 def _places(filtered):
     schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("line", pa.int32()), ("id", pa.int64()), ("text", pa.string())])
 
-    def out(rows: list[tuple], bits: np.ndarray) -> pa.RecordBatch:
-        ids = np.array([r[3] for r in rows], np.int64)
-        texts = [r[4] if m else None for r, m in zip(rows, _bits.maybe(bits, ids).tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], schema.types[k]) for k in range(3)), pa.array(ids), pa.array(texts, pa.string())], schema=schema)
+    def out(places: tuple[list, ...], bits: np.ndarray) -> pa.RecordBatch:
+        *columns, names, lines = places
+        ids = np.array(names, np.int64)
+        texts = [line if m else None for line, m in zip(lines, _bits.maybe(bits, ids).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, schema.types, strict=False)), pa.array(ids), pa.array(texts, pa.string())], schema=schema)
 
     def run(batches):
         bits = _bits.unpacked(filtered.value)
         for batch in batches:
-            rows, size = [], 0
+            places, size = ([], [], [], [], []), 0
+            docs, ties, numbers, names, lines = places
             for doc, tie, text in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for i, line in lines_of(text):
-                    rows.append((doc, tie, i, _name(line), line))
+                    docs.append(doc)
+                    ties.append(tie)
+                    numbers.append(i)
+                    names.append(_name(line))
+                    lines.append(line)
                     size += len(line)
-                    if len(rows) >= LINES or size >= 64 * CHUNK:
-                        yield out(rows, bits)
-                        rows, size = [], 0
-            if rows:
-                yield out(rows, bits)
+                    if len(lines) >= LINES or size >= 256 * CHUNK:
+                        yield out(places, bits)
+                        size = 0
+                        for column in places:
+                            column.clear()
+            if lines:
+                yield out(places, bits)
 
     return run
 
@@ -195,8 +240,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     wanted = written(ids_of(found), "line-ids")
     packed_ids = docs.sparkSession.sparkContext.broadcast(_bits.packed(wanted, wanted.count()))
     seen = written(own.mapInArrow(_places(packed_ids), _PLACES), "line-places")
-    alike = seen.filter("text is not null").select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    comp = linked(found, written(alike, "line-texts"), elements, THRESHOLD, line_set, elements_of)
+    near = seen.filter("text is not null").select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    comp = linked(found, written(near, "line-texts"), alike, every, THRESHOLD)
     comp = written(comp.union(comp.select(F.col("comp").alias("id"), "comp").distinct()), "line-components")
     here = F.struct(F.col("doc_id").isNotNull().alias("given"), F.col("doc_id").alias("doc_id"), F.col("tie").alias("tie"), F.col("line").alias("line"))
     nodes = seen.groupBy("id").agg(F.min(here).alias("least"), F.max(here).alias("last")).join(comp, "id", "left")
@@ -221,6 +266,7 @@ def _without(texts: pd.Series, lines: pd.Series) -> pd.Series:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with their columns, their texts without the lines that go, and ``lines_gone`` (0-based numbers)."""
     gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("lines").alias("__lines"))
+    gone = gone.hint("shuffle_hash")  # the texts need no sort
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__tie"]), "left")
     kept = F.pandas_udf(_without, "string")(F.when(F.col("__lines").isNotNull(), docs["text"]), "__lines")
     text = F.when(F.col("__lines").isNull(), docs["text"]).otherwise(kept).alias("text")
