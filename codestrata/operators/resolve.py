@@ -108,17 +108,20 @@ def targets_of(wanted: DataFrame, packages: DataFrame, more: DataFrame) -> DataF
 
     Of ``wanted(path, package)``, ``packages(package, target)`` and ``more(path, target)``. The members are listed once for each set of packages that
     some path names, and the lists go to the paths in ``PARTS``: pairs of a path and a member are neither shuffled nor compared.
+    Each task gives its longest lists first: a writer that has seen short rows puts off its next look at its memory for thousands of rows.
     """
-    known = wanted.join(packages.select("package").distinct(), "package", "left_semi").distinct()
+    known = wanted.join(packages.groupBy("package").agg(F.count("*").alias("n")), "package").distinct()
     listed = more.join(packages, "target").join(known, ["path", "package"], "left_semi").select("path", "target")
     rest = more.join(listed, ["path", "target"], "left_anti").groupBy("path").agg(F.collect_set("target").alias("more"))
-    sets = known.groupBy("path").agg(F.sort_array(F.collect_set("package")).alias("packages"))
-    rows = sets.join(rest, "path", "full").withColumn("part", F.pmod(F.xxhash64("path"), F.lit(PARTS)))
-    named = rows.select("packages", "part").filter("packages is not null").distinct()
+    sets = known.groupBy("path").agg(F.sort_array(F.collect_set("package")).alias("packages"), F.sum("n").alias("n"))
+    key = F.struct(F.coalesce(-F.col("n"), F.lit(0)).alias("order"), "packages", F.pmod(F.xxhash64("path"), F.lit(PARTS)).alias("part"))
+    rows = sets.join(rest, "path", "full").select("path", "more", key.alias("key"))
+    named = rows.select("key").filter("key.packages is not null").distinct().withColumn("packages", F.col("key.packages"))
     each = named.select("packages").distinct().select("packages", F.explode("packages").alias("package"))
     lists = each.join(packages, "package").groupBy("packages").agg(F.sort_array(F.collect_set("target")).alias("listed"))
     none = F.array().cast(rest.schema["more"].dataType)
-    return rows.join(named.join(lists, "packages"), ["packages", "part"], "left").select("path", F.coalesce("listed", none).alias("listed"), F.coalesce("more", none).alias("more"))
+    found = rows.join(named.join(lists, "packages").select("key", "listed").hint("merge"), "key", "left")  # a merge join gives the keys in order
+    return found.select("path", F.coalesce("listed", none).alias("listed"), F.coalesce("more", none).alias("more"))
 
 
 def resolve_java(imports: DataFrame, units: DataFrame) -> DataFrame:
