@@ -120,6 +120,8 @@ def targets_of(wanted: DataFrame, packages: DataFrame, more: DataFrame) -> DataF
     each = named.select("packages").distinct().select("packages", F.explode("packages").alias("package"))
     lists = each.join(packages, "package").groupBy("packages").agg(F.sort_array(F.collect_set("target")).alias("listed"))
     none = F.array().cast(rest.schema["more"].dataType)
+    if int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) < PARTS:
+        rows = rows.repartition(PARTS, "key")  # a short key stands for a long list: few partitions are uneven
     found = rows.join(named.join(lists, "packages").select("key", "listed").hint("merge"), "key", "left")  # a merge join gives the keys in order
     return found.select("path", F.coalesce("listed", none).alias("listed"), F.coalesce("more", none).alias("more"))
 
